@@ -5,7 +5,7 @@ its words as numbers. Words that no benchmark item has only separate, and a run
 benchmark words too short for any passage cannot match, so both are left out before the
 index is built; that changes no result. On the rest stands an FM-index:
 
-* suffixes sorted by prefix doubling, up to the length of a passage;
+* suffixes sorted by prefix doubling;
 * the Burrows-Wheeler transform in a wavelet matrix, which answers ranks;
 * backward search of all passages at once, one word per step;
 * every SAMPLE-th suffix position, from which occurrences are located by LF steps.
@@ -34,16 +34,16 @@ SPAN = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
 
 
 class FMIndex:
-    """Over integers in [0, size): count and locate patterns of at most depth symbols."""
+    """Over integers in [0, size), of which 0, the separator, ends the text: find and locate patterns without 0."""
 
-    def __init__(self, text: np.ndarray, size: int, depth: int):
+    def __init__(self, text: np.ndarray, size: int):
         n = self.n = len(text)
         rank = text.astype(np.int64)
         order = np.argsort(rank, kind="stable")
         length = 1
-        while length < depth and n:
+        while True:
             second = np.zeros(n, np.int64)
-            second[: n - length] = rank[length:] + 1 if length < n else 0
+            second[: max(0, n - length)] = rank[length:] + 1
             key = rank * (max(int(second.max()), int(rank.max())) + 2) + second
             order = np.argsort(key, kind="stable")
             key = key[order]
@@ -53,9 +53,10 @@ class FMIndex:
             length *= 2
             if new[-1] == n - 1:
                 break
-        bwt = text[order - 1] if n else text  # the first suffix is preceded by the last symbol, a separator
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.bits = max(1, int(size - 1).bit_length())
+        # What precedes the whole text is a symbol of its own, so no step leads to the last suffix, the smallest one.
+        bwt = np.where(order == 0, size, text[order - 1])
+        self.before = np.concatenate([[1], np.cumsum(np.bincount(text, minlength=size))])
+        self.bits = size.bit_length()
         self.ones, self.zeros = [], []
         for level in range(self.bits - 1, -1, -1):
             b = (bwt >> level) & 1
@@ -131,7 +132,6 @@ class Passages:
             first = np.concatenate([[0], np.cumsum([len(v) for _, v in own])])
             self.groups.append((np.array([k for k, _ in own], np.int64), first, np.array([x for _, v in own for x in v], np.int64)))
         self.shortest = min((g[0].shape[1] for g in self.groups), default=0)
-        self.longest = max((g[0].shape[1] for g in self.groups), default=0)
         self.bits = np.zeros(1 << 18, bool)
         self.bits[(self.words & np.uint64(0x3FFFF)).astype(np.int64)] = True
 
@@ -184,7 +184,7 @@ class _Shard:
         cover = np.zeros(self.size + 1, np.int64)
         pairs = [np.zeros((0, 2), np.int64)]
         if len(text):
-            index = FMIndex(text, len(self.p.words) + 1, self.p.longest)
+            index = FMIndex(text, len(self.p.words) + 1)
             for patterns, item_first, item in self.p.groups:
                 lo, hi = index.search(patterns)
                 n = hi - lo
