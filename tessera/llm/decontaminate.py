@@ -20,7 +20,7 @@ listed; repeated document rows are answered one by one; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,24 +228,56 @@ def _searched(passages: Passages, shard_words: int):
     return run
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 32 << 20) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, spans (merged, in words), items (ids as sorted strings)."""
+def _parts(benchmark: DataFrame, window: int, max_part_bytes: int) -> list[Callable[[], Passages]]:
+    """Makers of the passages of the benchmark's parts, each of a bounded size."""
     items = benchmark.select("item_id", _frame.as_binary("text").alias("text"))
     parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max_part_bytes
+    own = lambda i: items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i)
+    return [lambda i=i: Passages([(r[0], None if r[1] is None else bytes(r[1])) for r in own(i).collect()], window) for i in range(parts)]
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 32 << 20) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, spans (merged, in words), items (ids as sorted strings)."""
+    parts = _parts(benchmark, window, max_part_bytes)
     schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text"))
-    part = lambda i: Passages([(r[0], None if r[1] is None else bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect()], window)
-    if parts == 1:
-        return source.mapInArrow(_searched(part(0), shard_words), schema)
+    if len(parts) == 1:
+        return source.mapInArrow(_searched(parts[0](), shard_words), schema)
     source = _frame.stored(source.withColumn("row", F.monotonically_increasing_id()))
     ids = source.select("row", "doc_id")
     rows = source.select(F.col("row").alias("doc_id"), "text")
-    each = _frame.stored(rows.mapInArrow(_searched(part(0), shard_words), schema))
-    for i in range(1, parts):
-        each = each.union(_frame.stored(rows.mapInArrow(_searched(part(i), shard_words), schema).where("size(spans) > 0")))
+    each = _frame.stored(rows.mapInArrow(_searched(parts[0](), shard_words), schema))
+    for part in parts[1:]:
+        each = each.union(_frame.stored(rows.mapInArrow(_searched(part(), shard_words), schema).where("size(spans) > 0")))
     each = each.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # a span that begins inside or at the end of the one before it continues that one
     last = "element_at(acc, -1)"
     merged = F.expr(f"""aggregate(s, cast(array() as array<struct<start: bigint, end: bigint>>), (acc, x) -> if(size(acc) > 0 and x.start <= {last}.end,
         concat(slice(acc, 1, size(acc) - 1), array(struct({last}.start as start, greatest({last}.end, x.end) as end))), concat(acc, array(x))))""")
     return each.withColumn("spans", merged).join(ids, "row").select("doc_id", "n_words", "spans", "items")
+
+
+def _flagged(passages: Passages, shard_words: int):
+    """As _searched, for a column of texts: does a passage occur?"""
+
+    @F.arrow_udf("boolean")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in parts:
+            out, shard = [], _Shard(passages)
+            for lo, hi, w in _text.read(text, _text.ALNUM, lower=True):
+                shard.add(pa.array(np.arange(lo, hi)), w)
+                if shard.size >= shard_words:
+                    out.append(shard.answer().column("spans"))
+                    shard = _Shard(passages)
+            if shard.ids:
+                out.append(shard.answer().column("spans"))
+            yield pa.array(np.concatenate([np.asarray(x.value_lengths()) for x in out]) > 0 if out else np.zeros(0, bool))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, with their own columns, in which no benchmark passage occurs."""
+    for part in _parts(benchmark, window, max_part_bytes):
+        docs = docs.where(~_flagged(part(), shard_words)(_frame.as_binary("text")))
+    return docs

@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _frame, _text
@@ -191,3 +191,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     named = _frame.stored(named)
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def keep_first(docs: DataFrame, **kwargs) -> DataFrame:
+    """The rows of docs, with their own columns, that are the first of their class.
+
+    Of repeated rows of one doc_id one stays. Rows with a null doc_id stay: they name nothing.
+    """
+    keep = near_duplicates(docs, **kwargs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("__class")).where("__class = __id")
+    rows = docs.join(keep.select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
+    rows = rows.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    return rows.unionByName(docs.where("doc_id is null"))

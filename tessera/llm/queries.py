@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, substring_dedup
+from . import curriculum, decontaminate, langid, minhash, reshard, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = reshard.plan(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 6).alias("position"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM sizes GROUP BY source),
+wsrc AS (SELECT *, (CASE rnk % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM src),
+total AS (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS t FROM wsrc),
+levels AS (SELECT a.cap / a.w AS r, (t - coalesce((SELECT sum(b.cap) FROM wsrc b WHERE b.cap / b.w < a.cap / a.w), 0)) / (SELECT sum(b.w) FROM wsrc b WHERE b.cap / b.w >= a.cap / a.w) AS level FROM wsrc a, total),
+chosen AS (SELECT level FROM levels WHERE level <= r ORDER BY r LIMIT 1),
+plan AS (SELECT source, source_size, rnk, least(cap, coalesce((SELECT level FROM chosen), 0) * w) AS target FROM wsrc),
+rows_ AS (SELECT s.*, p.source_size, p.rnk, p.target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+due AS (SELECT *, CASE WHEN size > 0 AND off < floor(target) THEN least(size, floor(target)::BIGINT - off) ELSE 0 END AS t1, CASE WHEN size > 0 AND source_size + off < floor(target) THEN least(size, floor(target)::BIGINT - source_size - off) ELSE 0 END AS t2 FROM rows_)
+SELECT doc_id, size, source_size, target, (t1 + t2)::BIGINT AS taken, ((t1 > 0)::INT + (t2 > 0)::INT)::INT AS passes,
+ CASE WHEN t1 > 0 THEN round(CASE rnk % 3 WHEN 0 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * (off / target)) - 0.5::DOUBLE) / 1.0::DOUBLE WHEN 1 THEN (sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2.0::DOUBLE * (off / target))) - 1.5::DOUBLE) / -1.0::DOUBLE ELSE off / target END, 6) + 0.0::DOUBLE END AS position
+FROM due
+"""
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -27,5 +57,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_flow_resharding, op5_curriculum_mixing, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup)}
+ORACLES: dict[str, str] = {"op5_curriculum_mixing": OP5_SQL}
