@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, langid, lm, minhash, reshard, substring_dedup, topk, warc
+from . import curriculum, decontaminate, langid, linededup, lm, minhash, reshard, substring_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove_shared_blocks(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "spans", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
@@ -88,5 +93,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_scoring, op3_language_id, op4_flow_resharding, op5_curriculum_mixing, op6_warc, op7_exact_top_k, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_language_id, op4_flow_resharding, op5_curriculum_mixing, op6_warc, op7_exact_top_k, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op5_curriculum_mixing": OP5_SQL, "op6_warc": OP6_SQL, "op7_exact_top_k": OP7_SQL}
