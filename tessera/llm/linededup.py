@@ -132,7 +132,7 @@ def _cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 
 def remove_shared_blocks(docs: DataFrame, rare_holders: int = 8, min_line_bytes: int = 16, min_block_bytes: int = 60) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans (lines deleted, may overlap), kept_text."""
+    """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans (lines deleted, as found in each earlier document; they may overlap), kept_text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text")).withColumn("th", F.xxhash64("text"))
     lines = source.where("doc_id is not null").mapInArrow(_lines, "doc_id long, th long, hashes array<long>, sizes array<int>, numbers array<int>")
     lines = _frame.stored(lines.groupBy("doc_id").agg(F.min(F.struct("th", "hashes", "sizes", "numbers")).alias("s")).select("doc_id", "s.*"))
@@ -146,6 +146,6 @@ def remove_shared_blocks(docs: DataFrame, rare_holders: int = 8, min_line_bytes:
     pairs = rare.union(common).distinct()
     joined = pairs.join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("x")), "earlier")
     spans = joined.select("doc_id", "th", "x", "hashes", "sizes", "numbers").mapInArrow(_aligned(min_block_bytes), f"doc_id long, th long, spans {SPANS}").where("size(spans) > 0")
-    spans = spans.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    spans = spans.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     out = source.join(spans, ["doc_id", "th"], "left").withColumn("cut", F.arrow_udf(_cut, "struct<n_lines: long, n_removed: long, kept: binary>")("text", "spans"))
     return out.select("doc_id", "cut.n_lines", "cut.n_removed", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.col("cut.kept").cast("string").alias("kept_text"))
