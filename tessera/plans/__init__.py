@@ -1,0 +1,3 @@
+"""Importing this package registers all queries."""
+
+from . import q_search  # noqa: F401
