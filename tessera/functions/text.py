@@ -22,19 +22,6 @@ def lines(s: Column) -> Column:
     return F.split(F.regexp_replace(s, r"\n\z", ""), "\n", -1)
 
 
-def characters(s: Column, n: int) -> Column:
-    """Each character with the n - 1 after it, as structs c0, c1 ...; one pass, as substring() at each place would not be."""
-    c = F.filter(F.split(s, ""), lambda x: x != "")
-    parts = [c] + [F.slice(c, i + 1, F.greatest(F.length(s), F.lit(1))) for i in range(1, n)]
-    return F.arrays_zip(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
-
-
-def trigrams(s: Column) -> Column:
-    """Distinct folded character trigrams; none for shorter text."""
-    grams = F.transform(characters(fold_ascii(s), 3), lambda x: F.concat(x["c0"], x["c1"], x["c2"]))
-    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
-
-
 def pack_trigram(t: Column) -> Column:
     """Three ASCII characters as one number."""
     byte = lambda i: F.ascii(F.substring(t, i, 1))

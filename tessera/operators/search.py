@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import paths, text
+from tessera.functions import grams, paths, text
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")
@@ -103,10 +103,7 @@ def predicate(column: Column, pattern: str, literal: bool = False, ignore_case:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(trigram, doc_id, next_mask) of docs (doc_id, text); next_mask has a bit for each character that follows."""
-    rows = docs.select("doc_id", F.inline(text.characters(text.fold_ascii(F.col("text")), 4))).where("c2 is not null")
-    rows = rows.select("doc_id", F.concat("c0", "c1", "c2").alias("trigram"), F.coalesce("c3", F.lit("")).alias("next"))
-    mask = F.when(F.col("next") == "", 0).otherwise(text.next_mask(F.col("next")))
-    return rows.groupBy("trigram", "doc_id").agg(F.bit_or(mask).cast("int").alias("next_mask"))
+    return docs.select("doc_id", F.inline(grams.posted(F.col("text")))).select("trigram", "doc_id", "next_mask")
 
 
 def write_index(docs: DataFrame, folder: str, buckets: int = 64) -> None:
