@@ -416,7 +416,7 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
     return model, counts
 
 
-def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 16 << 20, **kwargs) -> DataFrame:
+def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     total = _frame.text_bytes(docs)
     chunks, buckets = 1 + total // chunk_bytes, 1 + total // (16 << 20)
