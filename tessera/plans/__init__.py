@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from . import q_graph, q_rank, q_reduce, q_search  # noqa: F401
+from . import q_events, q_graph, q_rank, q_reduce, q_search  # noqa: F401
