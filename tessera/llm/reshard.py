@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 
 from . import _frame
 
-SIZE = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-TEXT = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+
+def _size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+
+
+def _bytes() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
 
 
 def min_cost_flow(nodes: int, edges: Sequence[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -87,9 +92,9 @@ def plan(docs: DataFrame, shards: int = 8, old_shards: int = 5, old: Column | No
     """Per row of docs (doc_id, text): doc_id, size, text_crc32, old_shard, shard, slot.
 
     old: the shard a row is in (0 to old_shards - 1; default: by the text's crc32); capacities: bytes of the new shards (default: equal)."""
-    crc = F.crc32(TEXT)
+    crc = F.crc32(_bytes())
     old = F.pmod(crc, F.lit(old_shards)) if old is None else old
-    rows = _frame.stored(docs.select("doc_id", SIZE.alias("size"), crc.alias("text_crc32"), old.cast("int").alias("old_shard"), F.pmod(F.xxhash64(TEXT), F.lit(blocks)).cast("int").alias("block")))
+    rows = _frame.stored(docs.select("doc_id", _size().alias("size"), crc.alias("text_crc32"), old.cast("int").alias("old_shard"), F.pmod(F.xxhash64(_bytes()), F.lit(blocks)).cast("int").alias("block")))
     sums = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("n")).collect()
     total = sum(r.n for r in sums)
     capacities = capacities or [total // shards + (j < total % shards) for j in range(shards)]
@@ -124,7 +129,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, folder: str) -> list[int]:
     affected = sorted(r.s for r in moved.collect())  # at most one row for each shard
     # equal rows are told apart by their turn
     own = placed.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")).alias("__turn"))
-    rows = docs.drop("shard", "slot").withColumn("__own", F.crc32(TEXT))
+    rows = docs.drop("shard", "slot").withColumn("__own", F.crc32(_bytes()))
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0))))
     rows = rows.join(own, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__crc")) & (F.col("__nth") == F.col("__turn"))).drop("__id", "__crc", "__own", "__nth", "__turn").where(F.col("shard").isin(affected))
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(folder)

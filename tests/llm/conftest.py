@@ -32,7 +32,7 @@ def rows():
         out.append((i, " ".join(near), "en", "hot"))
     out += [(i, out[7][1], "en", "hot") for i in range(72, 80)]
     out.append((80, _sentence(rng, words["de"], 30_000), "de", None))
-    out += [(81, None, "en", "hot"), (82, "", "en", "é"), (83, " \n\t ", None, "hot"), (84, "1234 !!", "en", "hot"), (None, "a text without an id the the", "en", "hot"), (85, "short", None, "z"), (86, out[3][1] + "", "en", "hot"), (86, out[3][1] + "", "en", "hot")]
+    out += [(81, None, "en", "hot"), (82, "", "en", "é"), (83, " \n\t ", None, "hot"), (84, "1234 !!", "en", "hot"), (None, "a text without an id the the", "en", "hot"), (85, "short", None, "z"), (86, out[3][1], out[3][2], "hot"), (86, out[3][1], out[3][2], "hot")]
     return [(*r, len(r[1]) if r[1] is not None else None, "c", "b", "n", "l", "s", "z", "r") for r in out]
 
 
