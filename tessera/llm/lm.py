@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from . import _frame, _text
 from .langid import held_out
 
-TAILS = 64
-LANES, WINDOW = 256, 32
+TAILS = 32
+LANES, WINDOW, ROWS = 256, 32, 1024
 LOG10 = float(np.log(10.0))
 
 
@@ -109,7 +109,11 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, classes: int, ends: int,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
@@ -158,20 +162,25 @@ class Model:
 
         With grads, also adds the gradients of the mean loss and returns that of h."""
         p, cls = self.p, self.vocab.class_of(y)
-        logits = h @ p["Wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(y))
-        out = (logits[rows, cls] - np.log(total)).astype(np.float64)
-        dh = None
-        if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            e /= len(y)
-            grads["Wc"] += h.T @ e
-            grads["bc"] += e.sum(axis=0)
-            dh = e @ p["Wc"].T
+        out = np.empty(len(y))
+        dh = None if grads is None else np.empty_like(h)
+        for lo in range(0, len(y), ROWS):  # in blocks that stay in the cache
+            part = slice(lo, lo + ROWS)
+            e = h[part] @ p["Wc"]
+            e += p["bc"]
+            e -= e.max(axis=1, keepdims=True)
+            rows = np.arange(len(e))
+            mine = e[rows, cls[part]]
+            np.exp(e, out=e)
+            total = e.sum(axis=1)
+            out[part] = mine - np.log(total)
+            if grads is not None:
+                e /= total[:, None]
+                e[rows, cls[part]] -= 1
+                e /= len(y)
+                grads["Wc"] += h[part].T @ e
+                grads["bc"] += e.sum(axis=0)
+                dh[part] = e @ p["Wc"].T
         order = np.argsort(cls, kind="stable")
         at = np.searchsorted(cls[order], np.arange(len(self.vocab.cuts)))
         for k in range(len(self.vocab.cuts) - 1):
@@ -179,14 +188,17 @@ class Model:
             lo, hi = self.vocab.cuts[k], self.vocab.cuts[k + 1]
             if not len(own) or hi - lo == 1:
                 continue
-            g = h[own] @ p["Wo"][lo:hi].T + p["bo"][lo:hi]
-            g -= g.max(axis=1, keepdims=True)
-            e = np.exp(g)
-            total, mine = e.sum(axis=1), np.arange(len(own))
-            out[own] += g[mine, y[own] - lo] - np.log(total)
+            e = h[own] @ p["Wo"][lo:hi].T
+            e += p["bo"][lo:hi]
+            e -= e.max(axis=1, keepdims=True)
+            rows, at_ = np.arange(len(own)), y[own] - lo
+            mine = e[rows, at_]
+            np.exp(e, out=e)
+            total = e.sum(axis=1)
+            out[own] += mine - np.log(total)
             if grads is not None:
                 e /= total[:, None]
-                e[mine, y[own] - lo] -= 1
+                e[rows, at_] -= 1
                 e /= len(y)
                 grads["Wo"][lo:hi] += e.T @ h[own]
                 grads["bo"][lo:hi] += e.sum(axis=0)
@@ -216,10 +228,12 @@ class Model:
         dx, ids = dx.reshape(-1, 3 * n), x.ravel()
         grads["b"] += dx.sum(axis=0)
         grads["W"] += p["E"][ids].T @ dx
-        np.add.at(grads["E"], ids, dx @ p["W"].T)
+        order = np.argsort(ids, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+        grads["E"][ids[order[at]]] += np.add.reduceat((dx @ p["W"].T)[order], at)
         return -float(logs.mean()), grads, hs[-1]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, updates: int, bptt: int = 16, lanes: int = 128, rate: float = 0.01) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, updates: int, bptt: int = 16, lanes: int = 256, rate: float = 0.01) -> float:
         """Passes over a stream of (input, token, does a segment start), until there were that many updates; returns the last losses' mean."""
         lanes = max(1, min(lanes, len(x) // bptt))
         steps = len(x) // lanes
@@ -396,7 +410,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"piece": pa.array(list(sums), pa.int32()), "weight": pa.array([s[0] for s in sums.values()]), "data": pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())})
 
 
-def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 64, train_tokens: int = 64, updates: int = 200, rounds: int = 2, piece: int = 4096) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 48, train_tokens: int = 64, updates: int = 100, rounds: int = 2, piece: int = 4096) -> tuple[Model, DataFrame]:
     """Learn from all of docs (place, text as binary); returns the model and the table of word counts, packed by bucket."""
     buckets = 1 + total_bytes // (16 << 20)
     counts = _frame.stored(docs.select("text").mapInArrow(_counted(buckets), _ROW).groupBy("bucket").applyInArrow(_summed, _ROW))
