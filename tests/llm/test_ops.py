@@ -31,7 +31,7 @@ def test_gradients():
     rng, m = np.random.default_rng(0), _model()
     for k in m.p:
         m.p[k] = m.p[k].astype(np.float64)
-    x, y, start, h = rng.integers(0, 100, (7, 3)), rng.integers(0, 100, (7, 3)), rng.random((7, 3)) < 0.2, rng.standard_normal((3, 6))
+    x, y, start, h = rng.integers(0, 41 + lm.TAILS, (7, 3)), rng.integers(0, 41 + lm.TAILS, (7, 3)), rng.random((7, 3)) < 0.2, rng.standard_normal((3, 6))
 
     def loss():
         return -m.log_probs(m.states(m.projected(), x, start, h).reshape(-1, 6).astype(np.float64), y.ravel())[0].mean()
@@ -61,7 +61,7 @@ def test_state_is_carried_to_the_end():
     """Lanes and windows don't change a document's likelihood."""
     m, rng = _model(), np.random.default_rng(2)
     lengths = [1, 3, 200, 33, 32, 64, 1, 500]
-    docs = [rng.integers(0, 105, n) for n in lengths]
+    docs = [rng.integers(0, 41 + lm.TAILS, n) for n in lengths]
     first = np.concatenate([[0], np.cumsum(lengths)])
     got = m.score(np.concatenate(docs), first)
     for d, want in zip(docs, got):
