@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -83,8 +84,14 @@ class _Writer(HTMLParser):
             self.out[at:] = [] if href.startswith("#") and label in ("", "#", "¶", "§") else [f"[{label}]({href})"] if href else [label]
 
     def handle_data(self, data):
-        if not self.dropped:
-            self.out.append(data if self.pre else " ".join(data.split()) if data.strip() else " " if data else "")
+        if self.dropped:
+            return
+        if not self.pre:
+            data = re.sub(r"\s+", " ", data)
+            if not self.out or self.out[-1].endswith(("\n", " ")):
+                data = data.lstrip()
+        if data:
+            self.out.append(data)
 
 
 def to_markdown(html: str | None) -> str:
