@@ -25,12 +25,9 @@ def stored(df: DataFrame, *partition: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # results may read it until then
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame) -> int:
