@@ -44,18 +44,31 @@ def _posted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         first = np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32)
         keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int64)
         masks = np.concatenate([m for _, m in found]) if found else np.zeros(0, np.int64)
-        # numpy drops zero characters at the end of a string; they are not trigrams of any use
-        yield pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays([pa.array(strings(keys), pa.string()), pa.array(masks.astype(np.int32))], ["trigram", "next_mask"]))
+        yield pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays([pa.array(keys), pa.array(masks.astype(np.int32))], ["trigram", "next_mask"]))
 
 
 def posted(text: Column) -> Column:
-    """array<struct<trigram, next_mask>> of the distinct trigrams of a text."""
-    return F.arrow_udf(_posted, "array<struct<trigram: string, next_mask: int>>")(text)
+    """array<struct<trigram, next_mask>> of the distinct trigrams of a text; trigrams are packed longs."""
+    return F.arrow_udf(_posted, "array<struct<trigram: long, next_mask: int>>")(text)
+
+
+def packed(trigram: str) -> int:
+    return (ord(trigram[0]) << 42) | (ord(trigram[1]) << 21) | ord(trigram[2])
+
+
+def _shown(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for keys in parts:
+        yield pa.array(strings(keys.to_numpy()), pa.string())
+
+
+def shown(trigram: Column) -> Column:
+    """A packed trigram as text (a zero character at its end is dropped)."""
+    return F.arrow_udf(_shown, "string")(trigram)
 
 
 def stats(text: Column, query: Sequence[str]) -> Column:
     """struct<n, hits>: how many distinct trigrams a text has, and which of the query's."""
-    wanted = np.array([(ord(t[0]) << 42) | (ord(t[1]) << 21) | ord(t[2]) for t in query], np.int64)
+    wanted = np.array([packed(t) for t in query], np.int64)
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:

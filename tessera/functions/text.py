@@ -13,8 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def fold_ascii(s: Column) -> Column:
-    """Lower case of A-Z only."""
-    return F.translate(s, UPPER, LOWER)
+    """Lower case of A-Z only; text that is all ASCII takes the faster lower()."""
+    return F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(F.translate(s, UPPER, LOWER))
 
 
 def lines(s: Column) -> Column:

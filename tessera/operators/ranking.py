@@ -50,13 +50,16 @@ def lexical_score(docs: DataFrame, query: Sequence[str]) -> DataFrame:
 
 def lexical_rank(docs: DataFrame, query: Sequence[str], most: int = 50) -> DataFrame:
     """(doc_id, score): documents with one of the three rarest query trigrams, of these the first 200 (500 with fewer trigrams) by id, ranked by score."""
-    held = docs.select("doc_id", grams.stats(F.col("text"), query).alias("s")).select("doc_id", "s.n", F.col("s.hits").alias("q")).where("size(q) > 0")
+    # which trigrams a text has is a search for each, (?i) folding A-Z only; only the candidates' trigrams are counted
+    has = F.array(*[F.when(F.col("text").rlike("(?i)\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E"), F.lit(t)) for t in dict.fromkeys(query)]) if query else F.array().cast("array<string>")
+    held = docs.select("doc_id", "text", F.array_compact(has).alias("q")).where("size(q) > 0")
     counts = {r.t: r.n for r in held.select(F.explode("q").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each query trigram
     rarest = sorted(counts, key=lambda t: (counts[t], t))[:3]
     if not rarest:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     some = held.where(F.arrays_overlap("q", F.array(*map(F.lit, rarest)))).orderBy("doc_id").limit(200 if len(rarest) == 3 else 500)
-    score = F.size("q") / (1 + F.log(F.greatest("n", F.lit(1))))
+    score = F.size("q") / (1 + F.log(F.greatest(F.col("s.n"), F.lit(1))))
+    some = some.select("doc_id", "q", grams.stats(F.col("text"), query).alias("s"))
     return some.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(most)
 
 

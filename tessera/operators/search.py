@@ -102,7 +102,7 @@ def predicate(column: Column, pattern: str, literal: bool = False, ignore_case:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(trigram, doc_id, next_mask) of docs (doc_id, text); next_mask has a bit for each character that follows."""
+    """(trigram, doc_id, next_mask) of docs (doc_id, text); trigrams are packed longs, next_mask has a bit for each character that follows."""
     return docs.select("doc_id", F.inline(grams.posted(F.col("text")))).select("trigram", "doc_id", "next_mask")
 
 
@@ -116,8 +116,9 @@ def read_index(spark: SparkSession, folder: str, trigrams: set[str] | None = Non
     """The postings of some trigrams: only their buckets are read."""
     rows = spark.read.parquet(folder)
     if trigrams is not None:
-        own = {r[0] for r in spark.createDataFrame([(t,) for t in sorted(trigrams)], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int")).collect()}
-        rows = rows.where(F.col("bucket").isin(sorted(own)) & F.col("trigram").isin(sorted(trigrams)))
+        keys = sorted(map(grams.packed, trigrams))
+        own = {r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).collect()}
+        rows = rows.where(F.col("bucket").isin(sorted(own)) & F.col("trigram").isin(keys))
     return rows.drop("bucket")
 
 
@@ -128,8 +129,8 @@ def snapshot(base: DataFrame, delta: DataFrame, superseded: DataFrame) -> DataFr
 
 def candidates(index: DataFrame, plan: TrigramPlan) -> DataFrame:
     """doc_ids that have all of a plan's trigrams and one of each group."""
-    wanted = sorted(plan.all_of.union(*plan.any_of))
-    hits = index.where(F.col("trigram").isin(wanted)).groupBy("doc_id").agg(F.count_if(F.col("trigram").isin(sorted(plan.all_of))).alias("n"), *[F.max(F.col("trigram").isin(sorted(g))).alias(f"g{i}") for i, g in enumerate(plan.any_of)])
+    keys = lambda ts: sorted(map(grams.packed, ts))
+    hits = index.where(F.col("trigram").isin(keys(plan.all_of.union(*plan.any_of)))).groupBy("doc_id").agg(F.count_if(F.col("trigram").isin(keys(plan.all_of))).alias("n"), *[F.max(F.col("trigram").isin(keys(g))).alias(f"g{i}") for i, g in enumerate(plan.any_of)])
     keep = F.col("n") == len(plan.all_of)
     for i in range(len(plan.any_of)):
         keep = keep & F.col(f"g{i}")

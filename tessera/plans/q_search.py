@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import paths
+from tessera.functions import grams, paths
 from tessera.operators import search
 
 from .registry import FILES_SQL, LINES_SQL, documents, files, query
@@ -102,7 +102,8 @@ def nested_roots(spark, sf_dir):
 @query("""WITH t AS (SELECT DISTINCT doc_id, translate(substr(text, i, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents))
  SELECT g AS trigram, count(*)::BIGINT AS postings, min(doc_id) AS first_doc FROM t GROUP BY 1""")
 def trigram_index(spark, sf_dir):
-    return search.postings(documents(spark, sf_dir)).groupBy("trigram").agg(F.count("*").alias("postings"), F.min("doc_id").alias("first_doc"))
+    rows = search.postings(documents(spark, sf_dir)).groupBy("trigram").agg(F.count("*").alias("postings"), F.min("doc_id").alias("first_doc"))
+    return rows.withColumn("trigram", grams.shown(F.col("trigram")))
 
 
 @query("""WITH c AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'license'))
