@@ -9,10 +9,11 @@ over the class's words for the head, by smoothed corpus counts for a tail class.
 every word, known or not, has a probability and they sum to 1.
 
 * Counts: every training token of the corpus, by packed hash exchange, kept as a table.
-* Training: each training document gives one segment (train_tokens tokens at a place
-  fixed by its hash). Every task runs truncated backpropagation (bptt steps, the state
-  carried from window to window, Adam) over its own segments; the tasks' parameters are
-  averaged by token count, piece by piece, for a few rounds.
+* Training: the training documents are dealt to the rounds by hash, each as a whole, so
+  the rounds together learn from every token once. In a round every task runs truncated
+  backpropagation (bptt steps, the state carried from window to window, Adam) over all
+  tokens of its documents, short streams again until there were that many updates; the
+  tasks' parameters are averaged by token count, piece by piece.
 * Scoring: whole documents run side by side in lanes, the state carried across windows
   to a document's end; counts of tail words come from the table, once per chunk.
 
@@ -233,20 +234,25 @@ class Model:
         grads["E"][ids[order[at]]] += np.add.reduceat((dx @ p["W"].T)[order], at)
         return -float(logs.mean()), grads, hs[-1]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, updates: int, bptt: int = 16, lanes: int = 256, rate: float = 0.01) -> float:
-        """Passes over a stream of (input, token, does a segment start), until there were that many updates; returns the last losses' mean."""
-        lanes = max(1, min(lanes, len(x) // bptt))
-        steps = len(x) // lanes
-        if not steps:
+    def fit(self, stream: np.ndarray, updates: int, bptt: int = 16, lanes: int = 256, rate: float = 0.01) -> float:
+        """Passes over a stream of tokens (documents, each with its end): one over all of it at least, and until there were that many updates; returns the last losses' mean."""
+        if not len(stream):
             return 0.0
-        x, y, start = (a[: steps * lanes].reshape(lanes, steps).T for a in (x, y, start))
+        lanes = max(1, min(lanes, len(stream) // bptt))
+        steps = -(-len(stream) // lanes)
+        y = np.resize(stream, steps * lanes)  # the last lane is filled up from the stream's begin
+        x = np.roll(y, 1)  # a document starts after the end before it
+        x[0] = self.vocab.head
+        x, y = (a.reshape(lanes, steps).T for a in (x, y))
+        updates = max(updates, -(-steps // bptt))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         done, losses = 0, []
         while done < updates:
             h = np.zeros((lanes, self.hidden), np.float32)
             for lo in range(0, steps, bptt):
-                loss, grads, h = self.gradients(x[lo : lo + bptt], y[lo : lo + bptt], start[lo : lo + bptt], h)
+                window = x[lo : lo + bptt].astype(np.int64)
+                loss, grads, h = self.gradients(window, y[lo : lo + bptt].astype(np.int64), window == self.vocab.head, h)
                 losses.append(loss)
                 done += 1
                 norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
@@ -364,37 +370,27 @@ def _frequent(least: int):
     return run
 
 
-def _segments(vocab: Vocabulary, batches: Iterator[pa.RecordBatch], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    xs, ys, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+def _stream(vocab: Vocabulary, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """All tokens of the batches' texts, an end after each."""
+    kind = np.min_scalar_type(vocab.head + TAILS)
+    out = [np.zeros(0, kind)]
     for b in batches:
-        place = b.column("place").to_numpy()
         for lo, hi, w in _text.read(b.column("text"), lower=True):
-            numbers = vocab.numbers(w.hashes(), tails(w))
-            n = w.counts + 1
-            tokens = np.full(len(w) + hi - lo, vocab.head)  # an end after each document's words
-            tokens[np.arange(len(w)) + w.docs] = numbers
-            first = np.cumsum(n) - n
-            size = np.minimum(n, length)
-            begin = first + place[lo:hi] % (n - size + 1)
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            start = np.zeros(len(at), bool)
-            start[np.cumsum(size) - size] = True
-            x = np.where(at > 0, tokens[at - 1], vocab.head)
-            xs.append(np.where(np.isin(at, first), vocab.head, x))
-            ys.append(tokens[at])
-            starts.append(start)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(starts)
-
-
-def _trained(model: Model, length: int, updates: int, piece: int):
+            tokens = np.full(len(w) + hi - lo, vocab.head, kind)
+            tokens[np.arange(len(w)) + w.docs] = vocab.numbers(w.hashes(), tails(w))
+            out.append(tokens)
+    return np.concatenate(out)
+
+
+def _trained(model: Model, updates: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, start = _segments(model.vocab, batches, length)
-        if not len(x):
+        stream = _stream(model.vocab, batches)
+        if not len(stream):
             return
-        model.fit(x, y, start, updates)
+        model.fit(stream, updates)
         flat = model.flat()
         cuts = range(0, len(flat), piece)
-        yield pa.record_batch({"piece": pa.array(range(len(cuts)), pa.int32()), "weight": pa.array([float(len(x))] * len(cuts)), "data": pa.array([flat[c : c + piece].tobytes() for c in cuts], pa.binary())})
+        yield pa.record_batch({"piece": pa.array(range(len(cuts)), pa.int32()), "weight": pa.array([float(len(stream))] * len(cuts)), "data": pa.array([flat[c : c + piece].tobytes() for c in cuts], pa.binary())})
 
     return run
 
@@ -410,7 +406,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"piece": pa.array(list(sums), pa.int32()), "weight": pa.array([s[0] for s in sums.values()]), "data": pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())})
 
 
-def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 48, train_tokens: int = 64, updates: int = 100, rounds: int = 2, piece: int = 4096) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 48, updates: int = 100, rounds: int = 2, piece: int = 4096) -> tuple[Model, DataFrame]:
     """Learn from all of docs (place, text as binary); returns the model and the table of word counts, packed by bucket."""
     buckets = 1 + total_bytes // (16 << 20)
     counts = _frame.stored(docs.select("text").mapInArrow(_counted(buckets), _ROW).groupBy("bucket").applyInArrow(_summed, _ROW))
@@ -422,8 +418,8 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
     n, t = np.array([r.n for r in top], np.int64), np.array([r.t for r in top], np.int64)
     tokens, words = tokens - np.bincount(t, weights=n, minlength=TAILS).astype(np.int64), words - np.bincount(t, minlength=TAILS)
     model = Model(vocabulary(np.array([r.h for r in top], np.int64).view(np.uint64), n, classes, ends, tokens, words))
-    for _ in range(rounds):
-        done = docs.mapInArrow(_trained(model, train_tokens, updates, piece), "piece int, weight double, data binary")
+    for turn in range(rounds):
+        done = docs.where(F.col("place") % rounds == turn).select("text").mapInArrow(_trained(model, updates, piece), "piece int, weight double, data binary")
         found = sorted(done.repartition("piece").mapInArrow(_averaged, "piece int, weight double, data binary").collect(), key=lambda r: r.piece)
         if found:
             model.load(np.concatenate([np.frombuffer(r.data, np.float32) for r in found]))

@@ -84,6 +84,26 @@ def test_lm_scores(docs, rows):
     assert (got.score < 0).all() and out.score.sum() > out.base_score.sum()
 
 
+def test_lm_learns_from_every_token():
+    """A task passes over its whole stream, however few updates it is asked for, long documents to their end."""
+    m, rng, seen = _model(), np.random.default_rng(4), Counter()
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh"], n)) for n in [9000, 3, 0, 64, 65, 5000, 200, 1] + [70] * 300]
+    batch = pa.record_batch({"text": pa.array([t.encode() for t in texts], pa.binary())})
+    own = m.gradients
+
+    def counted(x, y, start, h):
+        seen.update(y.ravel().tolist())
+        return own(x, y, start, h)
+
+    m.gradients = counted
+    (out,) = lm._trained(m, 2, 4096)(iter([batch]))
+    stream = lm._stream(m.vocab, iter([batch]))
+    assert len(stream) == sum(len(t.split()) + 1 for t in texts)
+    want = Counter(stream.tolist())
+    assert all(seen[t] >= n for t, n in want.items()) and sum(seen.values()) < len(stream) + 256
+    assert set(out.column("weight").to_pylist()) == {float(len(stream))}
+
+
 def test_lm_of_nothing(empty, spark):
     assert lm.score(empty).count() == 0
     held = [i for i in range(50) if _fold(i, 5)][:3]
