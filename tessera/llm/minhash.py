@@ -10,9 +10,13 @@ the work is about (elements + k log k) for a document instead of elements times
 
 Signatures are cut into bands. Candidates are documents that share a band: all of a
 bucket if it is small, else each member with three pivots (the member that shares most
-buckets with others, the smallest and a random one), never all pairs of a large group.
-Every candidate is verified by the exact Jaccard similarity of the shingle sets. Links
-are joined to components by alternating large and small stars, all in DataFrames.
+buckets with others, the smallest and a random one). Links are joined to components by
+alternating large and small stars, all in DataFrames. The members of large buckets that
+are then still in several components are joined exactly: sets of similarity t or more
+share one of their first n - ceil(t n) + 1 shingles, rarest first, so only members of
+different components that share one of those (and leave room for enough common ones
+after it) are candidates. Every candidate is verified by the exact Jaccard similarity of
+the shingle sets.
 
 Texts with equal shingle sets count as one node, so copies cost one row each.
 
@@ -158,6 +162,23 @@ def components(edges: DataFrame) -> DataFrame:
         current = _frame.stored(out)
 
 
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a superset of the pairs of sets (node, label, items) of different labels whose similarity is threshold or more."""
+    items = _frame.stored(sets.select("node", "label", F.explode(F.array_distinct("items")).alias("item")))
+    rarity = items.groupBy("item").agg(F.count("*").alias("holders"))
+    ranked = items.join(rarity, "item").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("s"))
+    first = F.expr(f"slice(s, 1, cast(size(s) - ceil({threshold!r} * size(s) - 1e-9) + 1 as int))")
+    heads = ranked.select("node", "label", F.size("s").alias("n"), F.posexplode(first).alias("at", "x")).select("node", "label", "n", "at", F.col("x.item").alias("item"))
+    heads = _frame.stored(heads)
+    mixed = heads.groupBy("item").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("item")
+    heads = heads.join(mixed, "item", "left_semi")
+    other = heads.select("item", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "at")))
+    room = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))  # common ones at most, if this is the first
+    fits = room >= threshold / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-6
+    pairs = heads.join(other, "item").where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & fits)
+    return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id of the near-duplicate class.
 
@@ -181,12 +202,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     like = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold
     pairs = little.union(starred).where(like).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = _frame.stored(pairs)
-    wanted = nodes.select("node", "doc_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
+    wanted = nodes.select("node", "doc_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(big.select("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
     sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node binary, items array<int>")
     sets = _frame.stored(sets.dropDuplicates(["node"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    links = both.where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-    labels = components(links)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+        return both.where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+    labels = _frame.stored(components(linked(pairs)))
+    apart = big.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = apart.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
+    apart = _frame.stored(apart.join(several, "key", "left_semi").select("node", "label").distinct())
+    if not apart.isEmpty():
+        more = linked(_frame.stored(_prefix_pairs(apart.join(sets, "node"), threshold)))
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     named = _frame.stored(named)
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))

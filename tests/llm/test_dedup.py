@@ -116,6 +116,23 @@ def test_large_groups_are_joined_through_pivots(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_large_groups_without_a_base_lose_no_link(spark):
+    """Pairs that meet in large buckets only: all they share is in most others too, and no text is near all."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(60):
+        slots = rng.choice(79, 8, replace=False) * 5 + 2
+        for twin in range(2):
+            near = list(base)
+            for at in slots:
+                near[at] = f"x{i}_{twin}_{at}"
+            rows.append((2 * i + twin, " ".join(near)))
+    want = _classes(rows)
+    assert len({c for _, c in want}) == 60
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
