@@ -5,7 +5,8 @@
    documents have nominates its first holder for each of the others, so a line in a third
    of all documents gives one pair per document and none is passed over.
 2. Each pair is aligned by patience diff over line hashes: lines unique in both texts, the
-   longest increasing chain of them, growth over equal neighbours, again between anchors.
+   longest increasing chain of them, growth over equal neighbours, again between anchors;
+   a range without such a line by longest common blocks.
 3. Aligned runs of at least min_block_bytes are deleted from the later document.
 
 Only hashes and lengths of lines travel for steps 1 and 2; texts are joined once, with the
@@ -22,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,19 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _plain(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Aligned runs without anchors, in linear memory: common ends, then the longest common block and again beside it."""
+    n, lo, hi = min(len(a), len(b)), 0, 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    inner = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if not set(x).isdisjoint(y) else []
+    runs = [(0, 0, lo), *((lo + i, lo + j, k) for i, j, k in inner), (len(a) - hi, len(b) - hi, hi)]
+    return [r for r in runs if r[2]]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned runs (start in a, start in b, length) of two sequences of hashes."""
     runs: list[tuple[int, int, int]] = []
@@ -64,6 +79,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
         where = {x: j for j, x in enumerate(b[b0:b1], b0) if count_b[x] == 1}
         chain = _chain([(i, where[x]) for i, x in enumerate(a[a0:a1], a0) if count_a[x] == 1 and x in where])
         if not chain:
+            if not count_a.keys().isdisjoint(count_b):
+                runs += [(a0 + i, b0 + j, n) for i, j, n in _plain(a[a0:a1], b[b0:b1])]
             continue
         at, found = (a0, b0), []
         for n, (i, j) in enumerate(chain):

@@ -225,6 +225,13 @@ def test_patience():
     assert linededup.patience([1, 1, 2], [1, 1, 2]) == [(0, 0, 3)]
 
 
+def test_patience_without_unique_lines():
+    assert linededup.patience([1, 2, 1, 2], [1, 2, 1, 2]) == [(0, 0, 4)]
+    assert linededup.patience([1, 2, 3], [1, 2, 3, 9, 1, 2, 3]) == [(0, 0, 3)]
+    assert linededup.patience([7, 7, 1, 2, 1, 2, 8, 8], [5, 1, 2, 1, 2, 5]) == [(2, 1, 4)]
+    assert linededup.patience([1, 1, 2, 2], [3, 3]) == []
+
+
 def _aligned(rows, rare, least_line, least_block):
     """Every pair that shares a line: all holders of rare lines, the first holder of others."""
     texts = {}
