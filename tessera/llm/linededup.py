@@ -3,7 +3,10 @@
 1. Lines that two documents share are found by hash. A rare line (in at most rare_holders
    documents) nominates every earlier holder for every later one; a line that more
    documents have nominates its first holder for each of the others, so a line in a third
-   of all documents gives one pair per document and none is passed over.
+   of all documents gives one pair per document. Runs of consecutive lines nominate in the
+   same way: from and to each line the shortest run that reaches min_block_bytes, however
+   short its lines. Every line of a block that can be removed lies in such a run inside the
+   block, so a block is nominated even if its lines' first holders have only parts of it.
 2. Each pair is aligned by patience diff over line hashes: lines unique in both texts, the
    longest increasing chain of them, growth over equal neighbours, again between anchors;
    a range without such a line by longest common blocks.
@@ -111,14 +114,34 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return joined
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, w in _text.read(b.column("text"), LINE):
-            first = pa.array(w.first.astype(np.int32))
-            breaks = np.concatenate([[0], np.cumsum(w.data == 0x0A)])
-            number = breaks[w.starts] - np.repeat(breaks[w.offs[:-1]], w.counts)
-            lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (w.hashes().view(np.int64), (w.ends - w.starts).astype(np.int32), number.astype(np.int32))]
-            yield pa.record_batch({"doc_id": b.column("doc_id").slice(lo, hi - lo), "th": b.column("th").slice(lo, hi - lo), "hashes": lists[0], "sizes": lists[1], "numbers": lists[2]})
+def _runs(w: _text.Words, min_line_bytes: int, min_block_bytes: int) -> pa.ListArray:
+    """For each document the hashes of the shortest runs of lines, from and to each line, of min_block_bytes (lines that nominate by themselves left out)."""
+    total = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
+    own, n = np.repeat(np.arange(len(w.counts)), w.counts), np.arange(len(w))
+    to = np.searchsorted(total, total[:-1] + min_block_bytes)
+    begin = np.searchsorted(total, total[1:] - min_block_bytes, "right") - 1
+    fits, back = to <= w.first[1:][own], begin >= w.first[:-1][own]
+    lo, hi = np.concatenate([n[fits], begin[back]]), np.concatenate([to[fits], n[back] + 1])
+    some = (hi - lo > 1) | (total[hi] - total[lo] < min_line_bytes)
+    lo, hi = lo[some], hi[some]
+    order = np.argsort(own[lo], kind="stable")
+    lo, hi = lo[order], hi[order]
+    at = np.searchsorted(own[lo], np.arange(len(w.counts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(_text._ranged(w.hashes(), lo, hi).view(np.int64)))
+
+
+def _lines(min_line_bytes: int, min_block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, w in _text.read(b.column("text"), LINE):
+                first = pa.array(w.first.astype(np.int32))
+                breaks = np.concatenate([[0], np.cumsum(w.data == 0x0A)])
+                number = breaks[w.starts] - np.repeat(breaks[w.offs[:-1]], w.counts)
+                runs = _runs(w, min_line_bytes, min_block_bytes)
+                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (w.hashes().view(np.int64), (w.ends - w.starts).astype(np.int32), number.astype(np.int32))]
+                yield pa.record_batch({"doc_id": b.column("doc_id").slice(lo, hi - lo), "th": b.column("th").slice(lo, hi - lo), "hashes": lists[0], "sizes": lists[1], "numbers": lists[2], "runs": runs})
+
+    return run
 
 
 def _aligned(min_block_bytes: int):
@@ -151,16 +174,17 @@ def _cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 def remove_shared_blocks(docs: DataFrame, rare_holders: int = 8, min_line_bytes: int = 16, min_block_bytes: int = 60) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans (lines deleted, as found in each earlier document; they may overlap), kept_text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text")).withColumn("th", F.xxhash64("text"))
-    lines = source.where("doc_id is not null").mapInArrow(_lines, "doc_id long, th long, hashes array<long>, sizes array<int>, numbers array<int>")
-    lines = _frame.stored(lines.groupBy("doc_id").agg(F.min(F.struct("th", "hashes", "sizes", "numbers")).alias("s")).select("doc_id", "s.*"))
-    long_ = F.expr(f"array_distinct(transform(filter(arrays_zip(hashes, sizes), x -> x.sizes >= {int(min_line_bytes)}), x -> x.hashes))")
-    held = lines.select("doc_id", F.explode(long_).alias("line"))
+    lines = source.where("doc_id is not null").mapInArrow(_lines(min_line_bytes, min_block_bytes), "doc_id long, th long, hashes array<long>, sizes array<int>, numbers array<int>, runs array<long>")
+    lines = _frame.stored(lines.groupBy("doc_id").agg(F.min(F.struct("th", "hashes", "sizes", "numbers", "runs")).alias("s")).select("doc_id", "s.*"))
+    keys = F.expr(f"array_distinct(concat(transform(filter(arrays_zip(hashes, sizes), x -> x.sizes >= {int(min_line_bytes)}), x -> x.hashes), runs))")
+    held = lines.select("doc_id", F.explode(keys).alias("line"))
     shared = held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     held = _frame.stored(held.join(shared, "line"))
     rare = held.where(F.col("n") <= rare_holders).groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("d"))
     rare = rare.select(F.posexplode("d").alias("i", "earlier"), "d").select("earlier", F.explode(F.expr("slice(d, i + 2, size(d))")).alias("doc_id"))
     common = held.where((F.col("n") > rare_holders) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("earlier"), "doc_id")
     pairs = rare.union(common).distinct()
+    lines = lines.drop("runs")
     joined = pairs.join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("x")), "earlier")
     spans = joined.select("doc_id", "th", "x", "hashes", "sizes", "numbers").mapInArrow(_aligned(min_block_bytes), f"doc_id long, th long, spans {SPANS}").where("size(spans) > 0")
     spans = spans.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))

@@ -271,5 +271,27 @@ def test_line_blocks(docs, rows, rare):
     assert sum(r.n_removed for r in got) > 20
 
 
+def _all_pairs(rows, least_block):
+    """Lines removed by aligning every document with every earlier one."""
+    texts = {i: [x for x in t.split("\n") if x] for i, t in rows}
+    gone = {i: [False] * len(ls) for i, ls in texts.items()}
+    for b, y in texts.items():
+        for x in (texts[a] for a in texts if a < b):
+            for _, j, n in linededup.patience(x, y):
+                if sum(len(t) for t in y[j : j + n]) >= least_block:
+                    gone[b][j : j + n] = [True] * n
+    return {i: sum(g) for i, g in gone.items()}
+
+
+def test_common_lines_whose_first_holders_have_parts(spark):
+    """Two lines of 40 bytes together in 21 documents, apart in the first two; in others turned round."""
+    one, two = "first line of the two" + "." * 19, "second line of the two" + "." * 18
+    rows = [(0, f"{one}\nalone 0"), (1, f"{two}\nalone 1"), (2, f"{two}\nbetween\n{one}")]
+    rows += [(i, f"own {i}\n{one}\n{two}\nend {i}") for i in range(10, 31)]
+    got = linededup.remove_shared_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = _all_pairs(rows, 60)
+    assert {r.doc_id: r.n_removed for r in got} == want and want[30] == 2 and want[10] == 0
+
+
 def test_line_blocks_of_nothing(empty):
     assert linededup.remove_shared_blocks(empty).count() == 0
