@@ -293,5 +293,15 @@ def test_common_lines_whose_first_holders_have_parts(spark):
     assert {r.doc_id: r.n_removed for r in got} == want and want[30] == 2 and want[10] == 0
 
 
+@pytest.mark.parametrize("holders", [3, 20])
+def test_blocks_of_short_lines(spark, holders):
+    """Verse: no line of 16 bytes, the block of 60 and more is in all documents; a tail shorter than a block goes with it."""
+    verse = "\n".join(f"verse no {i}" for i in range(9)) + "\nend"
+    rows = [(i, f"own {i}\n{verse}\nlast {i}") for i in range(holders)] + [(50, verse), (51, verse[:40])]
+    got = linededup.remove_shared_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = _all_pairs(rows, 60)
+    assert {r.doc_id: r.n_removed for r in got} == want and want[50] == 10 and want[51] == 0
+
+
 def test_line_blocks_of_nothing(empty):
     assert linededup.remove_shared_blocks(empty).count() == 0
