@@ -5,7 +5,10 @@ text, everything but letters folded to one space), with sublinear counts and uni
 Document frequencies come from every labelled training row. Each language gets several
 centroids by spherical k-means over a bounded sample of its training rows
 (sample_per_lang, the smallest hashes of doc_id). A text takes the language of the
-centroid with the largest cosine; a cosine below min_cosine rejects it.
+centroid with the largest cosine. A text is rejected if its cosine is below min_cosine or
+below the distance learned for its language and length: SLACK times the QUANTILE of the
+cosines that beginnings of the sample's texts, cut to each of LENGTHS, have to the
+centroids of their own language (texts shorter than all of them: min_cosine alone).
 
 Defined cases: null text and text without a letter are `und` with score 0 and rejected;
 rows whose lang is null are not learned from; a null doc_id counts as the empty text for
@@ -26,6 +29,9 @@ from . import _text
 
 #: Documents of a dense block of vectors.
 BLOCK = 192
+#: Bytes of the beginnings that rejection is learned from, and the share of their lowest cosine that a text must reach.
+LENGTHS = (32, 128, 512, 2048)
+QUANTILE, SLACK = 0.01, 0.9
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -85,17 +91,29 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def floors(text: pa.Array, centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each of LENGTHS the least cosine of a text of that many bytes; where no text of the sample is as long, that of the length before."""
+    out, rows = np.zeros(len(LENGTHS)), text.to_pylist()
+    for i, n in enumerate(LENGTHS):
+        cut = [t[:n] for t in rows if len(t) >= n]
+        cos = np.concatenate([(weighted(v, idf) @ centroids.T).max(axis=1) for v in vectors(pa.array(cut, pa.binary()), len(idf))]) if cut and len(centroids) else np.zeros(0)
+        out[i] = SLACK * np.quantile(cos, QUANTILE) if len(cos) else out[i - 1] if i else 0.0
+    return out
+
+
 def held_out(fold: int = 3) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % fold == 1
 
 
 class Model:
-    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, min_cosine: float):
+    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, min_cosine: float, floor: np.ndarray | None = None):
         self.langs, self.centroids, self.idf, self.min_cosine = langs, centroids, idf, min_cosine
+        self.floor = np.zeros((len(langs), len(LENGTHS))) if floor is None else floor  # by centroid
 
     def predictor(self):
         """A column function (text as binary, has a letter) → struct<lang, score, rejected>."""
         langs, centroids, idf, least = np.array([*self.langs, "und"]), self.centroids.T.astype(np.float32).copy(), self.idf, self.min_cosine
+        floor = np.pad(np.maximum(self.floor, least), ((0, 1), (1, 0)), constant_values=least)  # a text shorter than all lengths; und
 
         @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
         def predict(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -111,7 +129,8 @@ class Model:
                         at += len(cos)
                 best[~has] = len(langs) - 1
                 score = np.where(has, np.clip(score, 0, 1), 0.0)
-                yield pa.StructArray.from_arrays([pa.array(langs[best].tolist(), pa.string()), pa.array(score), pa.array((best == len(langs) - 1) | (score < least))], ["lang", "score", "rejected"])
+                size = np.searchsorted(LENGTHS, np.diff(_text.column(text)[0]), "right")
+                yield pa.StructArray.from_arrays([pa.array(langs[best].tolist(), pa.string()), pa.array(score), pa.array((best == len(langs) - 1) | (score < floor[best, size]))], ["lang", "score", "rejected"])
 
         return lambda text: predict(text.cast("binary"), text.rlike(r"\p{L}"))
 
@@ -148,13 +167,13 @@ def train(docs: DataFrame, dims: int = 4096, centroids: int = 4, sample_per_lang
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
         pick = np.argsort(table.column("order").to_numpy(), kind="stable")[:sample_per_lang]
-        text = table.column("text").take(pa.array(np.sort(pick)))
+        text = table.column("text").take(pa.array(np.sort(pick))).combine_chunks()
         x = np.concatenate([weighted(v, idf) for v in vectors(text, dims)])
         c = clustered(x[np.linalg.norm(x, axis=1) > 0], centroids) if x.any() else x[:0]
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": pa.array([v.tobytes() for v in c.astype(np.float32)], pa.binary())})
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": pa.array([v.tobytes() for v in c.astype(np.float32)], pa.binary()), "floor": pa.array([floors(text, c, idf).tolist()] * len(c), pa.list_(pa.float64()))})
 
-    found = sorted(near.groupBy("lang").applyInArrow(fit, "lang string, centroid binary").collect(), key=lambda r: (r.lang, r.centroid))
-    return Model([r.lang for r in found], np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(len(found), dims), idf, min_cosine)
+    found = sorted(near.groupBy("lang").applyInArrow(fit, "lang string, centroid binary, floor array<double>").collect(), key=lambda r: (r.lang, r.centroid))
+    return Model([r.lang for r in found], np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(len(found), dims), idf, min_cosine, np.array([r.floor for r in found]).reshape(len(found), len(LENGTHS)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

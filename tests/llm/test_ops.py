@@ -137,6 +137,18 @@ def test_language_id_rejects_by_distance(spark, docs):
     assert {x.doc_id: x.rejected for x in r} == {1: True, 2: False} and all(x.lang_pred in ("en", "de") for x in r)
 
 
+def test_language_id_rejects_long_foreign_and_gibberish_texts(spark, docs, rows):
+    model, rng = langid.train(docs), np.random.default_rng(6)
+    noise = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(n))
+    bad = [noise(letters, n) for letters in ("".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, range(0x4E00, 0x5000))), "0123456789abcdef", "bcdfjkmpqvxz") for n in (30, 300)]
+    clean = [r[1] for r in rows if r[0] is not None and r[0] < 60 and _fold(r[0], 3) and r[2]]
+    good = [*clean, *(t.split("\n")[-1][:40] for t in clean if not t.startswith("A line")), "the and worer standing"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)], "doc_id long, text string")
+    rejected = {r.doc_id: r.rejected for r in langid.identify(table, model).collect()}
+    assert all(rejected[i] for i in range(len(bad)))
+    assert sum(rejected[i] for i in range(len(bad), len(rejected))) <= 0.05 * len(good) and not rejected[len(bad + good) - 1]
+
+
 def test_language_id_without_labels(docs, empty):
     model = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify(docs, model).collect()} == {"und"}
