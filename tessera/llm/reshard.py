@@ -132,5 +132,11 @@ def rewrite(docs: DataFrame, placed: DataFrame, folder: str) -> list[int]:
     rows = docs.drop("shard", "slot").withColumn("__own", F.crc32(_bytes()))
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0))))
     rows = rows.join(own, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__crc")) & (F.col("__nth") == F.col("__turn"))).drop("__id", "__crc", "__own", "__nth", "__turn").where(F.col("shard").isin(affected))
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(folder)
+    rows = _frame.stored(rows)  # docs may be read from folder: whole before anything there is replaced
+    filled = {r.shard for r in rows.select("shard").distinct().collect()}
+    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+    spark = docs.sparkSession
+    for s in set(affected) - filled:  # dynamic overwriting leaves shards without a new row as they are
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/shard={s}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return affected

@@ -236,6 +236,19 @@ def test_rewrite_affects_moved_shards_only(spark, tmp_path):
         reshard.plan(df, capacities=[1, 1])
 
 
+def test_rewrite_keeps_unaffected_shards_of_the_folder(spark, tmp_path):
+    """The documents are read from the folder itself; shard 0 stays as it is, 1 and 3 swap a row, 2 moves to 4 as a whole."""
+    folder = str(tmp_path / "shards")
+    old = {i: i % 4 for i in range(40)}
+    new = {i: {1: 3, 3: 1}.get(i, 4 if s == 2 else s) for i, s in old.items()}
+    spark.createDataFrame([(i, f"text {i}", s) for i, s in old.items()], "doc_id long, text string, shard int").repartition("shard").write.partitionBy("shard").parquet(folder)
+    before = sorted(f.name for f in (tmp_path / "shards" / "shard=0").glob("*.parquet"))
+    placed = spark.createDataFrame([(i, zlib.crc32(f"text {i}".encode()), old[i], new[i], i) for i in old], "doc_id long, text_crc32 long, old_shard int, shard int, slot long")
+    assert reshard.rewrite(spark.read.parquet(folder), placed, folder) == [1, 2, 3, 4]
+    assert {(r.doc_id, r.text, r.shard) for r in spark.read.parquet(folder).collect()} == {(i, f"text {i}", s) for i, s in new.items()}
+    assert sorted(f.name for f in (tmp_path / "shards" / "shard=0").glob("*.parquet")) == before
+
+
 def test_resharding_of_nothing(empty):
     assert reshard.plan(empty).count() == 0
 
