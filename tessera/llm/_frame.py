@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_FOLDER = "/tmp/checkpoints"
+#: A key with more than one HOT-th of the rows is dealt to SALTS tasks.
+HOT, SALTS = 1024, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or LOCAL_FOLDER
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -30,6 +35,39 @@ def stored(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what stored() wrote for df; nothing may read it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """The keys that have more than total / HOT of all rows: fewer than HOT, whatever the size of the data."""
+    return [r[0] for r in counts.where(F.col(n) > max(16, total // HOT)).select(key).collect() if r[0] is not None]
+
+
+def salt(key: str, hot: list) -> Column:
+    """The place of a row among those of its key: rows of hot or null keys are dealt by row numbers to SALTS places.
+
+    The rows must come straight from files, so that a repeated task deals alike."""
+    many = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
+    return F.when(many, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+
+
+def places(key: str, hot: list) -> Column:
+    """All places of a key, as rows."""
+    one = F.array(F.lit(0))
+    return F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(one) if hot else one)
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
+    """left (from files) joined with right, which has a key at most once, so that no key's rows are all in one task."""
+    left, right = left.withColumn("__salt", salt(key, hot)), right.withColumn("__salt", places(key, hot))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

@@ -16,9 +16,10 @@ are then still in several components are joined exactly: sets of similarity t or
 share one of their first n - ceil(t n) + 1 shingles, rarest first, so only members of
 different components that share one of those (and leave room for enough common ones
 after it) are candidates. Every candidate is verified by the exact Jaccard similarity of
-the shingle sets.
+the shingle sets (of 32-bit hashes), or of the multisets if shingles are counted.
 
-Texts with equal shingle sets count as one node, so copies cost one row each.
+Texts with equal shingle sets count as one node, so copies cost one row each. Nodes,
+buckets, labels and shingles with many rows are dealt to many tasks (_frame.look_up).
 
 Defined cases: null and empty texts have no shingle and are alone; a text of fewer words
 than a shingle is one shingle; a null doc_id never names a class of several ids; repeated
@@ -112,33 +113,43 @@ def shingles(w: _text.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys[at], np.diff(np.concatenate([at, [len(keys)]])), docs[at]
 
 
-def _digest(keys: np.ndarray) -> bytes:
-    return hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+def _digest(*arrays: np.ndarray) -> bytes:
+    return hashlib.blake2b(b"".join(x.tobytes() for x in arrays), digest_size=16).digest()
 
 
-def _signed(size: int, bands: int, rows: int, weigh: Callable) -> Callable:
+def _signed(size: int, bands: int, rows: int, counted: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in _text.read(b.column("text")):
                 keys, counts, docs = shingles(w, size)
+                counts = counts if counted else np.ones_like(counts)
                 first = np.searchsorted(docs, np.arange(hi - lo + 1))
                 has = np.diff(first) > 0
-                found = band_keys(darts(keys, weigh(counts), docs, hi - lo, bands * rows), rows)
-                ids = [_digest(keys[first[d] : first[d + 1]]) if has[d] else None for d in range(hi - lo)]
+                total = np.bincount(docs, weights=counts, minlength=hi - lo).astype(np.int32)
+                found = band_keys(darts(keys, counts.astype(np.float64), docs, hi - lo, bands * rows), rows)
+                ids = [_digest(keys[first[d] : first[d + 1]], counts[first[d] : first[d + 1]]) if has[d] else None for d in range(hi - lo)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-                yield pa.record_batch({"doc_id": b.column("doc_id").slice(lo, hi - lo), "node": pa.array(ids, pa.binary()), "n": pa.array(np.diff(first).astype(np.int32)), "bands": lists})
+                part = slice(lo, hi)
+                yield pa.record_batch({"doc_id": b.column("doc_id")[part], "th": b.column("th")[part], "node": pa.array(ids, pa.binary()), "n": pa.array(total), "bands": lists})
 
     return run
 
 
-def _sets(size: int) -> Callable:
+def _sets(size: int, counted: bool) -> Callable:
+    """Each text's shingles as 32-bit hashes; if counted, the nth time of a shingle is an element of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in _text.read(b.column("text")):
-                keys, _, docs = shingles(w, size)
-                first = np.searchsorted(docs, np.arange(hi - lo + 1)).astype(np.int32)
-                ids = [_digest(keys[a:z]) for a, z in zip(first[:-1], first[1:], strict=True)]
-                low = pa.ListArray.from_arrays(pa.array(first), pa.array(keys.astype(np.uint32).view(np.int32)))
+                keys, counts, docs = shingles(w, size)
+                counts = counts if counted else np.ones_like(counts)
+                first = np.searchsorted(docs, np.arange(hi - lo + 1))
+                ids = [_digest(keys[a:z], counts[a:z]) for a, z in zip(first[:-1], first[1:], strict=True)]
+                if counted:
+                    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                    keys, docs = _text.mix(np.repeat(keys, counts) + nth.astype(np.uint64)), np.repeat(docs, counts)
+                    first = np.searchsorted(docs, np.arange(hi - lo + 1))
+                low = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.astype(np.uint32).view(np.int32)))
                 yield pa.record_batch({"node": pa.array(ids, pa.binary()), "items": low})
 
     return run
@@ -155,81 +166,112 @@ def components(edges: DataFrame) -> DataFrame:
             return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).union(current.select("b", "b").distinct().join(current.select("a").distinct(), F.col("b") == F.col("a"), "left_anti").toDF("node", "label"))
         before = mark
         n = both(current)
-        least = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = n.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        out = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        current = _frame.stored(out)
+        least = _frame.stored(n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        hot = _frame.hot_keys(least, "a", "n", 2 * mark[0])
+        large = _frame.look_up(n.where("b > a"), least.drop("n"), "a", hot, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _frame.stored(large)
+        small = _frame.stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        hot = _frame.hot_keys(small, "a", "n", mark[0])
+        out = _frame.look_up(large, small.drop("n"), "a", hot, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        new = _frame.stored(out)
+        for old in (current, least, large, small):
+            _frame.forget(old)
+        current = new
 
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a superset of the pairs of sets (node, label, items) of different labels whose similarity is threshold or more."""
     items = _frame.stored(sets.select("node", "label", F.explode(F.array_distinct("items")).alias("item")))
-    rarity = items.groupBy("item").agg(F.count("*").alias("holders"))
-    ranked = items.join(rarity, "item").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("s"))
+    rarity = _frame.stored(items.groupBy("item").agg(F.count("*").alias("holders")))
+    hot = _frame.hot_keys(rarity, "item", "holders", items.count())
+    ranked = _frame.look_up(items, rarity, "item", hot, "inner").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("s"))
     first = F.expr(f"slice(s, 1, cast(size(s) - ceil({threshold!r} * size(s) - 1e-9) + 1 as int))")
     heads = ranked.select("node", "label", F.size("s").alias("n"), F.posexplode(first).alias("at", "x")).select("node", "label", "n", "at", F.col("x.item").alias("item"))
     heads = _frame.stored(heads)
-    mixed = heads.groupBy("item").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("item")
-    heads = heads.join(mixed, "item", "left_semi")
-    other = heads.select("item", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "at")))
+    mixed = heads.groupBy("item").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("holders")).where("l <> m")
+    mixed = _frame.stored(mixed.select("item", "holders"))
+    hot = _frame.hot_keys(mixed, "item", "holders", heads.count())
+    heads = _frame.stored(_frame.look_up(heads, mixed.select("item"), "item", hot, "inner"))
+    # one side of an item with many holders is dealt, the other is in each place
+    other = heads.select("item", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "at")), _frame.places("item", hot).alias("salt"))
     room = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))  # common ones at most, if this is the first
     fits = room >= threshold / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-6
-    pairs = heads.join(other, "item").where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & fits)
+    pairs = heads.withColumn("salt", _frame.salt("item", hot)).join(other, ["item", "salt"]).where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & fits)
     return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest doc_id of the near-duplicate class.
-
-    weigh turns the counts of a document's shingles into weights for the signatures
-    (default: 1 each, which gives the plain Jaccard similarity of shingle sets).
-    """
-    weigh = weigh or (lambda counts: np.ones(len(counts)))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text"))
-    signed = _frame.stored(source.mapInArrow(_signed(size, bands, rows, weigh), "doc_id long, node binary, n int, bands array<long>"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+def _labelled(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, counted: bool) -> DataFrame:
+    """(doc_id, th, label, class_id) of each row: th is the text's hash, label the class's node (null: no shingle)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text"), F.xxhash64("text").alias("th"))
+    signed = _frame.stored(source.mapInArrow(_signed(size, bands, rows, counted), "doc_id long, th long, node binary, n int, bands array<long>"))
+    total = signed.count()
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    nodes = _frame.stored(nodes)
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = _frame.stored(banded.join(crowded, "key"))
+    crowded = _frame.stored(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    hot = _frame.hot_keys(crowded, "key", "members", total)
+    members = _frame.stored(_frame.look_up(banded, crowded, "key", hot, "inner"))
     little = members.where(F.col("members") <= SMALL_BUCKET).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     little = little.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
     big = members.where(F.col("members") > SMALL_BUCKET)
     central = big.groupBy("node").agg(F.sum("members").alias("central"))
     pivots = big.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("p"), F.min(F.struct("node", "n")).alias("q"), F.min(F.struct(F.xxhash64("node", "key"), "node", "n")).alias("r"))
-    pivots = pivots.select("key", F.explode(F.array_distinct(F.array(F.struct("p.node", "p.n"), F.struct("q.node", "q.n"), F.struct("r.node", "r.n")))).alias("y"))
-    starred = big.join(pivots, "key").where("node <> y.node").select(F.struct("node", "n").alias("x"), "y")
+    pivots = pivots.select("key", F.array_distinct(F.array(F.struct("p.node", "p.n"), F.struct("q.node", "q.n"), F.struct("r.node", "r.n"))).alias("y"))
+    starred = _frame.look_up(big, pivots, "key", hot, "inner").select(F.struct("node", "n").alias("x"), F.explode("y").alias("y")).where("x.node <> y.node")
     like = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold
     pairs = little.union(starred).where(like).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = _frame.stored(pairs)
     wanted = nodes.select("node", "doc_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(big.select("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
-    sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node binary, items array<int>")
+    sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(size, counted), "node binary, items array<int>")
     sets = _frame.stored(sets.dropDuplicates(["node"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+        """The pairs (a, b), read from files, whose sets are similar; a pivot may be in many."""
+        ends, hot = pairs.count(), {}
+        for side in ("a", "b"):
+            hot[side] = _frame.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, "n", ends)
+        both = pairs.select("a", "b", _frame.salt("a", hot["a"]).alias("s"), _frame.salt("b", hot["b"]).alias("t"))
+        both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x"), _frame.places("node", hot["a"]).alias("s")), ["a", "s"])
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y"), _frame.places("node", hot["b"]).alias("t")), ["b", "t"])
+        both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
     labels = _frame.stored(components(linked(pairs)))
     apart = big.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = apart.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
-    apart = _frame.stored(apart.join(several, "key", "left_semi").select("node", "label").distinct())
+    apart = apart.join(big.select("key", "node").join(several, "key", "left_semi").select("node").distinct(), "node", "left_semi")
+    apart = _frame.stored(apart.select("node", "label").distinct())
     if not apart.isEmpty():
         more = linked(_frame.stored(_prefix_pairs(apart.join(sets, "node"), threshold)))
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    named = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    named = _frame.stored(named)
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # labels and classes are settled by nodes; only the last join has a row for each document
+    named = _frame.stored(nodes.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = _frame.stored(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("nodes")))
+    known = _frame.look_up(named, least.drop("nodes"), "label", _frame.hot_keys(least, "label", "nodes", total), "inner").select("node", "label", "class_id")
+    out = _frame.look_up(signed.select("doc_id", "th", "node"), known, "node", _frame.hot_keys(named, "node", "copies", total))
+    return out.select("doc_id", "th", "label", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, counted: bool = False) -> DataFrame:
+    """(doc_id, class_id): class_id is the smallest doc_id of the near-duplicate class.
+
+    counted: a shingle weighs as often as it occurs, and similar is what has a weighted
+    Jaccard similarity of threshold; else each weighs 1, which is that of the shingle sets.
+    """
+    return _labelled(docs, threshold, size, bands, rows, counted).select("doc_id", "class_id")
 
 
-def keep_first(docs: DataFrame, **kwargs) -> DataFrame:
+def keep_first(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, counted: bool = False) -> DataFrame:
     """The rows of docs, with their own columns, that are the first of their class.
 
-    Of repeated rows of one doc_id one stays. Rows with a null doc_id stay: they name nothing.
+    Of rows that share a doc_id but not a class each class keeps its own; of those that share
+    both one text stays, and of equal texts the row with the smallest hash of all columns.
+    Rows with a null doc_id stay: they name nothing.
     """
-    keep = near_duplicates(docs, **kwargs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("__class")).where("__class = __id")
-    rows = docs.join(keep.select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    rows = rows.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
-    return rows.unionByName(docs.where("doc_id is null"))
+    first = _labelled(docs, threshold, size, bands, rows, counted).where("doc_id = class_id")
+    keep = first.groupBy(F.col("doc_id").alias("__id"), F.coalesce("label", F.col("th").cast("string").cast("binary"))).agg(F.min("th").alias("__th")).select("__id", "__th").distinct()
+    rows_ = docs.withColumn("__own", F.xxhash64(F.col("text").cast("binary")))
+    rows_ = rows_.join(keep, (rows_["doc_id"] == F.col("__id")) & (rows_["__own"] == F.col("__th")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*docs.columns)))
+    rows_ = rows_.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__own")
+    return rows_.unionByName(docs.where("doc_id is null"))

@@ -133,6 +133,67 @@ def test_large_groups_without_a_base_lose_no_link(spark):
     assert Counter((r.doc_id, r.class_id) for r in got) == want
 
 
+def _mixed_family(rng, members):
+    """A group of mixed similarities: a random tree in which each text changes some words of an earlier one."""
+    texts = [[f"w{i}" for i in range(120)]]
+    for i in range(1, members):
+        near = list(texts[rng.integers(max(0, i - 40), i)])
+        for at in rng.choice(24, rng.integers(1, 5), replace=False):
+            near[at * 5] = f"x{i}_{at}"
+        texts.append(near)
+    return [" ".join(t) for t in texts]
+
+
+def test_a_large_group_of_mixed_similarities_loses_no_link(spark):
+    """1200 texts whose links are of every similarity, and copies of one of them, against all pairs."""
+    rng = np.random.default_rng(12)
+    texts = _mixed_family(rng, 1200)
+    rows = list(enumerate(texts)) + [(5000 + i, texts[7]) for i in range(900)]
+    sets = [_shingles(t) for t in texts]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [number[y] for y in x]] = 1
+    common, n = m @ m.T, m.sum(axis=1)
+    near = common >= 0.8 * (n[:, None] + n[None, :] - common) - 1e-4
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(near, label[None, :], len(sets)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == {i: int(label[i if i < 5000 else 7]) for i, _ in rows}
+
+
+def test_counted_shingles(spark):
+    """Equal shingle sets in other numbers: one class as sets, by the weighted similarity not always."""
+    part = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(part * 2)), (2, " ".join(part * 9)), (3, " ".join(part * 10)), (4, " ".join(part * 11)), (5, " ".join(part * 2))]
+
+    def counts(t):
+        w = t.split()
+        return Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+
+    assert {r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), counted=True).collect()}
+    similar = lambda a, b: sum((counts(a) & counts(b)).values()) >= 0.8 * sum((counts(a) | counts(b)).values())
+    assert similar(rows[1][1], rows[2][1]) and similar(rows[2][1], rows[3][1]) and not similar(rows[0][1], rows[1][1])
+    assert got == {1: 1, 5: 1, 2: 2, 3: 2, 4: 2}
+
+
+def test_one_id_with_several_texts(spark):
+    """Texts of one doc_id are texts of their own: each class keeps its first; of equal rows one stays, whatever the order."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "s"), (1, b, "t"), (2, a, "u"), (1, b, "v"), (3, c, "w"), (3, c, "x"), (None, c, "y"), (4, "", "z"), (4, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    got = minhash.keep_first(df)
+    assert got.columns == df.columns
+    want = Counter([(1, a), (1, b), (3, c), (None, c), (4, ""), (4, None)])
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    assert sorted(map(str, got.collect())) == sorted(map(str, minhash.keep_first(df.repartition(5, "th")).collect()))
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
