@@ -5,20 +5,24 @@
    documents have nominates its first holder for each of the others, so a line in a third
    of all documents gives one pair per document. Runs of consecutive lines nominate in the
    same way: from and to each line the shortest run that reaches min_block_bytes, however
-   short its lines. Every line of a block that can be removed lies in such a run inside the
-   block, so a block is nominated even if its lines' first holders have only parts of it.
+   short its lines.
 2. Each pair is aligned by patience diff over line hashes: lines unique in both texts, the
    longest increasing chain of them, growth over equal neighbours, again between anchors;
-   a range without such a line by longest common blocks.
-3. Aligned runs of at least min_block_bytes are deleted from the later document.
+   a range without such a line by longest common blocks. Then blocks that stand in another
+   order in the two texts, which no alignment has together, are looked up by their runs.
+3. Aligned blocks of at least min_block_bytes are deleted from the later document.
+
+So a line goes exactly if it lies in a run of lines of at least min_block_bytes that a
+document with a smaller doc_id has as well: every line of such a run lies in a shortest
+run inside it, whose first holder is nominated. Empty lines are no part of a run (lines
+before and after them are neighbours); those between two deleted lines go with them.
 
 Only hashes and lengths of lines travel for steps 1 and 2; texts are joined once, with the
-spans to delete.
+spans to delete. A line or a document with many pairs is dealt to many tasks.
 
-Defined cases: null text has no lines, empty text one; empty lines align with nothing but
-go with the block around them; a null doc_id takes no part and is kept whole; equal rows
-of one doc_id are treated alike and not compared; of rows with one doc_id but different
-texts only the one with the smallest text hash takes part; other columns are ignored.
+Defined cases: null text has no lines, empty text one; a null doc_id takes no part and is
+kept whole; equal rows are treated alike; texts with one doc_id are not compared with each
+other, but each with those of other ids; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,13 +148,57 @@ def _lines(min_line_bytes: int, min_block_bytes: int):
     return run
 
 
+def _shortest(sizes: list[int | None], least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest run from each element whose sizes reach least; None is in no run."""
+    end = total = 0
+    for start, own in enumerate(sizes):
+        if own is None or end < start:
+            end, total = start + (own is None), 0
+        if own is None:
+            continue
+        while total < least and end < len(sizes) and sizes[end] is not None:
+            total += sizes[end]
+            end += 1
+        if total >= least:
+            yield start, end
+        total -= own
+
+
+def _moved(x: list[int], y: list[int], sizes: list[int], gone: list[bool], least: int) -> list[tuple[int, int]]:
+    """Runs (start, end) of y, of at least that size and not wholly gone, that x has too."""
+    size, there = dict(zip(y, sizes, strict=True)), set(x)
+
+    def runs(seq: list[int], parts: list[int | None]) -> set[tuple[int, int]]:
+        back = {(len(seq) - j, len(seq) - i) for i, j in _shortest(parts[::-1], least)}
+        return back | set(_shortest(parts, least))
+
+    mine = [r for r in runs(y, [n if h in there else None for h, n in zip(y, sizes, strict=True)]) if not all(gone[r[0] : r[1]])]
+    if not mine:
+        return []
+    have = {tuple(x[i:j]) for i, j in runs(x, [size.get(h) for h in x])}
+    return [(i, j) for i, j in mine if tuple(y[i:j]) in have]
+
+
+def blocks(x: list[int], y: list[int], sizes: list[int], least: int) -> list[bool]:
+    """Which lines of y (hashes, with their sizes) lie in a block of at least that size that x has."""
+    gone = [False] * len(y)
+    for _, j, n in patience(x, y):
+        if sum(sizes[j : j + n]) >= least:
+            gone[j : j + n] = [True] * n
+    for i, j in _moved(x, y, sizes, gone, least):
+        gone[i:j] = [True] * (j - i)
+    return gone
+
+
 def _aligned(min_block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, y, sizes, numbers in zip(*(b.column(c).to_pylist() for c in ("x", "hashes", "sizes", "numbers")), strict=True):
-                spans = [{"start": numbers[j], "end": numbers[j + n - 1] + 1} for _, j, n in patience(x, y) if sum(sizes[j : j + n]) >= min_block_bytes]
-                out.append(spans)
+            for x, y, sizes, numbers in zip(*(b.column(c) for c in ("x", "hashes", "sizes", "numbers")), strict=True):
+                gone = blocks(x.as_py(), y.as_py(), sizes.as_py(), min_block_bytes)
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+                number = numbers.values.to_numpy()
+                out.append([{"start": int(number[i]), "end": int(number[j - 1]) + 1} for i, j in edge])
             yield pa.record_batch({"doc_id": b.column("doc_id"), "th": b.column("th"), "spans": pa.array(out, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))})
 
     return run
@@ -158,35 +206,58 @@ def _aligned(min_block_bytes: int):
 
 def _cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for text, spans in parts:
-        lines, removed, kept = [], [], []
+        lines, removed, cut, kept = [], [], [], []
         for t, s in zip(text, spans, strict=True):
-            t = t.as_py()
-            rows = t.split(b"\n") if t is not None else []
-            lines.append(len(rows))
+            t, s = t.as_py(), s.as_py() or ()
+            lines.append(0 if t is None else t.count(b"\n") + 1)
+            if not s:
+                removed.append(0)
+                cut.append([])
+                kept.append(t)
+                continue
+            rows = t.split(b"\n")
             gone = bytearray(len(rows))
-            for x in s.as_py() or ():
+            for x in s:
                 gone[x["start"] : x["end"]] = b"\1" * (x["end"] - x["start"])
+            before = False  # empty lines between two deleted ones
+            for i, r in enumerate(rows):
+                if r:
+                    if before and gone[i]:
+                        gone[last + 1 : i] = b"\1" * (i - last - 1)  # noqa: F821
+                    before, last = bool(gone[i]), i
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], np.frombuffer(gone, np.int8), [0]]))).reshape(-1, 2)
             removed.append(sum(gone))
-            kept.append(None if t is None else b"\n".join(r for r, g in zip(rows, gone, strict=True) if not g) if removed[-1] else t)
-        yield pa.StructArray.from_arrays([pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["n_lines", "n_removed", "kept"])
+            cut.append([{"start": int(i), "end": int(j)} for i, j in edge])
+            kept.append(b"\n".join(r for r, g in zip(rows, gone, strict=True) if not g))
+        span = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
+        yield pa.StructArray.from_arrays([pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary())], ["n_lines", "n_removed", "spans", "kept"])
 
 
 def remove_shared_blocks(docs: DataFrame, rare_holders: int = 8, min_line_bytes: int = 16, min_block_bytes: int = 60) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans (lines deleted, as found in each earlier document; they may overlap), kept_text."""
+    """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans (of lines deleted, apart and rising), kept_text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text")).withColumn("th", F.xxhash64("text"))
     lines = source.where("doc_id is not null").mapInArrow(_lines(min_line_bytes, min_block_bytes), "doc_id long, th long, hashes array<long>, sizes array<int>, numbers array<int>, runs array<long>")
-    lines = _frame.stored(lines.groupBy("doc_id").agg(F.min(F.struct("th", "hashes", "sizes", "numbers", "runs")).alias("s")).select("doc_id", "s.*"))
+    lines = _frame.stored(lines.dropDuplicates(["doc_id", "th"]))
     keys = F.expr(f"array_distinct(concat(transform(filter(arrays_zip(hashes, sizes), x -> x.sizes >= {int(min_line_bytes)}), x -> x.hashes), runs))")
-    held = lines.select("doc_id", F.explode(keys).alias("line"))
-    shared = held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    held = _frame.stored(held.join(shared, "line"))
-    rare = held.where(F.col("n") <= rare_holders).groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("d"))
-    rare = rare.select(F.posexplode("d").alias("i", "earlier"), "d").select("earlier", F.explode(F.expr("slice(d, i + 2, size(d))")).alias("doc_id"))
-    common = held.where((F.col("n") > rare_holders) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("earlier"), "doc_id")
-    pairs = rare.union(common).distinct()
-    lines = lines.drop("runs")
-    joined = pairs.join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("x")), "earlier")
+    held = lines.select("doc_id", "th", F.explode(keys).alias("line"))
+    shared = held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min_by("th", "doc_id").alias("first_th")).where("n > 1")
+    shared = _frame.stored(shared)
+    held = _frame.stored(_frame.look_up(held, shared, "line", _frame.hot_keys(shared, "line", "n", lines.count()), "inner"))
+    rare = held.where(F.col("n") <= rare_holders).groupBy("line").agg(F.sort_array(F.collect_list(F.struct("doc_id", "th"))).alias("d"))
+    rare = rare.select(F.posexplode("d").alias("i", "e"), "d").select("e", F.explode(F.expr("slice(d, i + 2, size(d))")).alias("l")).where("e.doc_id < l.doc_id")
+    rare = rare.select(F.col("e.doc_id").alias("earlier"), F.col("e.th").alias("earlier_th"), "l.doc_id", "l.th")
+    common = held.where((F.col("n") > rare_holders) & (F.col("doc_id") > F.col("first"))).select(F.col("first").alias("earlier"), F.col("first_th").alias("earlier_th"), "doc_id", "th")
+    pairs = _frame.stored(rare.union(common).distinct())
+    total, hot = pairs.count(), {}
+    for side in ("earlier", "doc_id"):
+        hot[side] = _frame.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, "n", total)
+    pairs = pairs.withColumn("s", _frame.salt("doc_id", hot["doc_id"])).withColumn("t", _frame.salt("earlier", hot["earlier"]))
+    own = lines.select("doc_id", "th", "hashes", "sizes", "numbers", _frame.places("doc_id", hot["doc_id"]).alias("s"))
+    before = lines.select(F.col("doc_id").alias("earlier"), F.col("th").alias("earlier_th"), F.col("hashes").alias("x"), _frame.places("doc_id", hot["earlier"]).alias("t"))
+    joined = pairs.join(own, ["doc_id", "th", "s"]).join(before, ["earlier", "earlier_th", "t"])
     spans = joined.select("doc_id", "th", "x", "hashes", "sizes", "numbers").mapInArrow(_aligned(min_block_bytes), f"doc_id long, th long, spans {SPANS}").where("size(spans) > 0")
-    spans = spans.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    out = source.join(spans, ["doc_id", "th"], "left").withColumn("cut", F.arrow_udf(_cut, "struct<n_lines: long, n_removed: long, kept: binary>")("text", "spans"))
-    return out.select("doc_id", "cut.n_lines", "cut.n_removed", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.col("cut.kept").cast("string").alias("kept_text"))
+    spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumn("s", F.lit(0))
+    # rows without an id match nothing: they are dealt
+    source = source.withColumn("s", _frame.salt("doc_id", []))
+    out = source.join(spans, ["doc_id", "th", "s"], "left").withColumn("cut", F.arrow_udf(_cut, f"struct<n_lines: long, n_removed: long, spans: {SPANS}, kept: binary>")("text", "spans"))
+    return out.select("doc_id", "cut.n_lines", "cut.n_removed", "cut.spans", F.col("cut.kept").cast("string").alias("kept_text"))

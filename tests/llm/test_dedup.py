@@ -293,55 +293,81 @@ def test_patience_without_unique_lines():
     assert linededup.patience([1, 1, 2, 2], [3, 3]) == []
 
 
-def _aligned(rows, rare, least_line, least_block):
-    """Every pair that shares a line: all holders of rare lines, the first holder of others."""
-    texts = {}
-    for r in rows:
-        if r[0] is not None:
-            texts.setdefault(r[0], r[1])
-    lines = {i: [x for x in (t or "").split("\n")] for i, t in texts.items()}
-    holders = defaultdict(set)
-    for i, ls in lines.items():
-        for x in ls:
-            if len(x.encode()) >= least_line:
-                holders[x].add(i)
-    pairs = set()
-    for x, h in holders.items():
-        h = sorted(h)
-        pairs |= {(a, b) for n, b in enumerate(h) for a in (h[:n] if len(h) <= rare else h[:1] if n else [])}
-    gone = {i: [False] * len(ls) for i, ls in lines.items()}
-    for a, b in pairs:
-        x = [t for t in lines[a] if t]
-        at = [n for n, t in enumerate(lines[b]) if t]
-        y = [lines[b][n] for n in at]
-        for _, j, n in linededup.patience(x, y):
-            if sum(len(t.encode()) for t in y[j : j + n]) >= least_block:
-                gone[b][at[j] : at[j + n - 1] + 1] = [True] * (at[j + n - 1] + 1 - at[j])
+def test_shortest_runs():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        sizes = [None if rng.random() < 0.2 else int(rng.integers(1, 9)) for _ in range(rng.integers(0, 12))]
+        want = []
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):
+                if None in sizes[i:j]:
+                    break
+                if sum(sizes[i:j]) >= 10:
+                    want.append((i, j))
+                    break
+        assert list(linededup._shortest(sizes, 10)) == want
+
+
+def _block_lines(rows, least):
+    """By definition: lines in a run of `least` bytes or more that a text with a smaller id has, and empty lines between such."""
+    texts = {(i, t): [x for x in t.encode().split(b"\n") if x] for i, t, *_ in rows if i is not None and t is not None}
+    first = {}
+    for (i, _), ls in sorted(texts.items()):
+        for a in range(len(ls)):
+            size = 0
+            for b in range(a + 1, len(ls) + 1):
+                size += len(ls[b - 1])
+                if size >= least:
+                    first.setdefault(tuple(ls[a:b]), i)
     out = Counter()
-    for r in rows:
-        ls = r[1].split("\n") if r[1] is not None else []
-        g = gone[r[0]] if r[0] is not None else [False] * len(ls)
-        out[(r[0], len(ls), sum(g), None if r[1] is None else "\n".join(t for t, x in zip(ls, g) if not x))] += 1
+    for i, t, *_ in rows:
+        raw = t.encode().split(b"\n") if t is not None else []
+        full = [n for n, x in enumerate(raw) if x]
+        gone = [False] * len(raw)
+        for a in range(len(full)) if i is not None else ():
+            size = 0
+            for b in range(a + 1, len(full) + 1):
+                size += len(raw[full[b - 1]])
+                if size >= least and first[tuple(raw[n] for n in full[a:b])] < i:
+                    for n in full[a:b]:
+                        gone[n] = True
+        for a, b in zip(full, full[1:]):
+            if gone[a] and gone[b]:
+                gone[a : b + 1] = [True] * (b + 1 - a)
+        out[(i, len(raw), sum(gone), None if t is None else b"\n".join(x for x, g in zip(raw, gone) if not g).decode())] += 1
     return out
 
 
+def _line_result(df, *args):
+    got = linededup.remove_shared_blocks(df, *args).collect()
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:])) for r in got)
+    return Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got)
+
+
 @pytest.mark.parametrize("rare", [2, 8])
-def test_line_blocks(docs, rows, rare):
-    got = linededup.remove_shared_blocks(docs, rare, 16, 60).collect()
-    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got) == _aligned(rows, rare, 16, 60)
-    assert sum(r.n_removed for r in got) > 20
+def test_line_blocks(spark, docs, rows, rare):
+    got = _line_result(docs, rare)
+    assert got == _block_lines(rows, 60)
+    assert sum(n * k for (_, _, n, _), k in got.items()) > 20
+
+
+def test_line_blocks_of_random_texts(spark):
+    """Few different lines, short and long, empty ones, in every order; ids with several texts; against the definition."""
+    rng = np.random.default_rng(21)
+    lines = [f"short {i}" for i in range(8)] + [f"a line of a middle length {i}" for i in range(8)] + ["", "", "x" * 61]
+    rows = [(int(rng.integers(0, 60)), "\n".join(rng.choice(lines, rng.integers(0, 14)))) for _ in range(90)]
+    rows += [(None, rows[0][1]), (70, None), (71, ""), (72, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = _block_lines(rows, 60)
+    assert _line_result(df) == want and _line_result(df, 2, 4) == want
 
 
-def _all_pairs(rows, least_block):
-    """Lines removed by aligning every document with every earlier one."""
-    texts = {i: [x for x in t.split("\n") if x] for i, t in rows}
-    gone = {i: [False] * len(ls) for i, ls in texts.items()}
-    for b, y in texts.items():
-        for x in (texts[a] for a in texts if a < b):
-            for _, j, n in linededup.patience(x, y):
-                if sum(len(t) for t in y[j : j + n]) >= least_block:
-                    gone[b][j : j + n] = [True] * n
-    return {i: sum(g) for i, g in gone.items()}
+def test_one_line_in_every_document(spark):
+    """A hot line and a hot first holder: nothing is lost where their rows are dealt to many tasks."""
+    line = "the same line of more than sixty bytes in each and every one of the documents"
+    rows = [(i, f"own {i}\n{line}\nalso own {i}") for i in range(3000)]
+    got = _line_result(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
+    assert got == Counter([(0, 3, 0, rows[0][1])] + [(i, 3, 1, f"own {i}\nalso own {i}") for i in range(1, 3000)])
 
 
 def test_common_lines_whose_first_holders_have_parts(spark):
@@ -349,9 +375,9 @@ def test_common_lines_whose_first_holders_have_parts(spark):
     one, two = "first line of the two" + "." * 19, "second line of the two" + "." * 18
     rows = [(0, f"{one}\nalone 0"), (1, f"{two}\nalone 1"), (2, f"{two}\nbetween\n{one}")]
     rows += [(i, f"own {i}\n{one}\n{two}\nend {i}") for i in range(10, 31)]
-    got = linededup.remove_shared_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = _all_pairs(rows, 60)
-    assert {r.doc_id: r.n_removed for r in got} == want and want[30] == 2 and want[10] == 0
+    want = _block_lines(rows, 60)
+    removed = {i: n for i, _, n, _ in want}
+    assert _line_result(spark.createDataFrame(rows, "doc_id long, text string")) == want and removed[30] == 2 and removed[10] == 0
 
 
 @pytest.mark.parametrize("holders", [3, 20])
@@ -359,9 +385,9 @@ def test_blocks_of_short_lines(spark, holders):
     """Verse: no line of 16 bytes, the block of 60 and more is in all documents; a tail shorter than a block goes with it."""
     verse = "\n".join(f"verse no {i}" for i in range(9)) + "\nend"
     rows = [(i, f"own {i}\n{verse}\nlast {i}") for i in range(holders)] + [(50, verse), (51, verse[:40])]
-    got = linededup.remove_shared_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = _all_pairs(rows, 60)
-    assert {r.doc_id: r.n_removed for r in got} == want and want[50] == 10 and want[51] == 0
+    want = _block_lines(rows, 60)
+    removed = {i: n for i, _, n, _ in want}
+    assert _line_result(spark.createDataFrame(rows, "doc_id long, text string")) == want and removed[50] == 10 and removed[51] == 0
 
 
 def test_line_blocks_of_nothing(empty):
