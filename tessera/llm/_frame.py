@@ -25,14 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, *partition: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when the application ends; results may read it until then."""
+    path = f"{shared_folder(spark)}-{name}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # results may read it until then
-    return spark.read.schema(df.schema).parquet(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there and survives lost executors."""
+    path = temporary_folder(df.sparkSession, "rows")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, langid, linededup, lm, minhash, reshard, substring_dedup, topk, warc
+from . import _frame, curriculum, decontaminate, langid, linededup, lm, minhash, reshard, substring_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard.plan(_table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    written = reshard.listing(reshard.reshard(_table(spark, sf_dir, "documents"), _frame.temporary_folder(spark, "shards")))
+    return written.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,4 +243,4 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def archived(spark: SparkSession, pages: DataFrame, **kwargs) -> DataFrame:
     """Write pages to archives in the shared folder and read them back."""
-    return read(write(pages, _frame.shared_folder(spark) + "-warc", **kwargs))
+    return read(write(pages, _frame.temporary_folder(spark, "warc"), **kwargs))

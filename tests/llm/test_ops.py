@@ -222,35 +222,71 @@ def test_a_hot_text_is_split(spark):
     assert all(abs(size[j] - mean) < 0.05 * mean for j in range(8))
 
 
-def test_rewrite_affects_moved_shards_only(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"t{i % 50}") for i in range(400)] + [(7, "t7")], "doc_id long, text string")
-    placed = reshard.plan(df, shards=4, old_shards=4)
-    folder = str(tmp_path / "shards")
-    affected = reshard.rewrite(df, placed, folder)
-    got = placed.collect()
-    assert set(affected) == {s for r in got if r.old_shard != r.shard for s in (r.old_shard, r.shard)}
-    if affected:
-        back = spark.read.parquet(folder).collect()
-        assert Counter((r.doc_id, r.shard, r.slot) for r in back) == Counter((r.doc_id, r.shard, r.slot) for r in got if r.shard in affected)
-    with pytest.raises(ValueError):
-        reshard.plan(df, capacities=[1, 1])
+def test_only_a_text_too_large_for_a_shard_is_split(spark):
+    """Texts in 1 to 30 copies of very different sizes in few blocks: one text alone exceeds a 64th of all bytes."""
+    rng = np.random.default_rng(11)
+    rows, hot = [], "hot " * 60
+    for t in range(1500):
+        text = f"text {t} " * int(rng.integers(1, 30))
+        rows += [text] * int(rng.choice([1, 1, 1, 2, 30]))
+    rows += [hot] * (len("".join(rows)) // len(hot) // 2)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got, size, where = reshard.plan(df, blocks=16).collect(), Counter(), defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        where[rows[r.doc_id]].add(r.shard)
+    mean = sum(size.values()) / 8
+    assert all(abs(size[j] - mean) < 0.01 * mean for j in range(8))
+    assert len(where[hot]) > 1 and all(len(s) == 1 for t, s in where.items() if t != hot)
+
+
+def test_plan_moves_about_the_fewest_bytes(spark):
+    """Whole blocks move: the bytes moved are those of the flow, up to the sizes of blocks."""
+    df = spark.createDataFrame([(i, f"document {i} " * (1 + i % 40)) for i in range(4000)], "doc_id long, text string")
+    plan = reshard.Plan(df, shards=6, old_shards=4)
+    got = plan.apply().select("size", "old_shard", "shard").collect()
+    held, total = Counter(), sum(r["size"] for r in got)
+    for r in got:
+        held[r.old_shard] += r["size"]
+    least = _cost_by_force([held[i] for i in range(4)], [total // 6 + (j < total % 6) for j in range(6)])
+    moved = sum(r["size"] for r in got if r.old_shard != r.shard)
+    assert moved == plan.moved and abs(moved - least) < 0.005 * total
+
+
+def test_written_shards_have_the_plan(spark, docs, rows, tmp_path):
+    """The rows, other columns and clashing names included, come back from the files as planned."""
+    wide = docs.withColumn("slot", F.lit(-1))
+    back = reshard.reshard(wide, str(tmp_path / "new"))
+    assert set(back.columns) == set(docs.columns) | {"slot", "shard"} and back.count() == len(rows)
+    assert sorted(map(str, reshard.listing(back).collect())) == sorted(map(str, reshard.plan(docs).drop("old_shard").collect()))
+    assert Counter(r.text for r in back.collect()) == Counter(r[1] for r in rows)
 
 
 def test_rewrite_keeps_unaffected_shards_of_the_folder(spark, tmp_path):
-    """The documents are read from the folder itself; shard 0 stays as it is, 1 and 3 swap a row, 2 moves to 4 as a whole."""
+    """Shard 0 has its capacity already; 1 and 2 lose rows to 3, which is new."""
     folder = str(tmp_path / "shards")
-    old = {i: i % 4 for i in range(40)}
-    new = {i: {1: 3, 3: 1}.get(i, 4 if s == 2 else s) for i, s in old.items()}
-    spark.createDataFrame([(i, f"text {i}", s) for i, s in old.items()], "doc_id long, text string, shard int").repartition("shard").write.partitionBy("shard").parquet(folder)
+    texts = {i: f"text number {i:04d}" for i in range(1200)}
+    old = {i: (0, 1, 1, 2, 2)[i % 5] for i in texts}
+    spark.createDataFrame([(i, t, old[i], 5) for i, t in texts.items()], "doc_id long, text string, shard int, slot long").repartition("shard").write.partitionBy("shard").parquet(folder)
     before = sorted(f.name for f in (tmp_path / "shards" / "shard=0").glob("*.parquet"))
-    placed = spark.createDataFrame([(i, zlib.crc32(f"text {i}".encode()), old[i], new[i], i) for i in old], "doc_id long, text_crc32 long, old_shard int, shard int, slot long")
-    assert reshard.rewrite(spark.read.parquet(folder), placed, folder) == [1, 2, 3, 4]
-    assert {(r.doc_id, r.text, r.shard) for r in spark.read.parquet(folder).collect()} == {(i, f"text {i}", s) for i, s in new.items()}
+    size = len(texts[0]) + 1
+    caps = [240 * size, 320 * size, 320 * size, 320 * size]
+    assert reshard.rewrite(spark.read.parquet(folder), folder, old_shards=3, old=F.col("shard"), capacities=caps) == [1, 2, 3]
+    back = spark.read.parquet(folder).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(texts.items())
+    assert {r.doc_id for r in back if r.shard == 0} == {i for i, s in old.items() if s == 0}
+    assert sum(r.shard != old[r.doc_id] for r in back) == 320
+    for s in (1, 2, 3):
+        slots = sorted(r.slot for r in back if r.shard == s)
+        assert slots == list(range(320))
     assert sorted(f.name for f in (tmp_path / "shards" / "shard=0").glob("*.parquet")) == before
+    assert [f.name for f in tmp_path.iterdir()] == ["shards"]
+    with pytest.raises(ValueError):
+        reshard.plan(spark.read.parquet(folder), capacities=[1, 1])
 
 
-def test_resharding_of_nothing(empty):
-    assert reshard.plan(empty).count() == 0
+def test_resharding_of_nothing(empty, tmp_path):
+    assert reshard.plan(empty).count() == 0 and reshard.reshard(empty, str(tmp_path / "none")).count() == 0
 
 
 # --- 5: mixing
