@@ -15,7 +15,10 @@ from tessera.llm import _frame, curriculum, decontaminate, langid, minhash, resh
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model learns from docs' own labels; documents that it rejects go."""
+    """The model learns from docs' own labels; documents that it rejects go, so those without a letter (null, empty) do.
+
+    Repeated rows share their fate; a null doc_id or lang is no reason to go; of an empty table nothing stays.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -25,7 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; those without words, null ones too, stay.
+
+    Repeated rows share their fate; items without words match nothing; an empty benchmark takes nothing away.
+    """
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -35,8 +41,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, shard and slot of every document."""
-    return reshard.plan(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
+    """Writes the shards; doc_id, size, text_crc32, shard and slot of every document in them."""
+    return reshard.listing(reshard.reshard(docs, _frame.temporary_folder(spark, "shards")))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
