@@ -11,7 +11,8 @@ that keep only the HTTP header, whose Content-Length is that of the whole payloa
 
 Archives go to a folder that driver and executors share, by Arrow's file systems, under
 names of the task attempt; the manifest, written by Spark, lists those of the attempts
-that counted, so a repeated task does no harm.
+that counted, so a repeated task does no harm. Pages of a payload that many share, and
+those too small to be shared, are dealt to many tasks.
 
 Defined cases: null html is an empty payload; a null url leaves its header out; rows with
 one page_id and equal payloads are alike (all response if that id is the smallest); a
@@ -180,9 +181,16 @@ def read_records(stream, payloads: bool = False) -> Iterator[Record]:
         yield Record(h, told, digest, b"".join(kept) if payloads else None)
 
 
+def _files(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path that Hadoop names s3a://, abfss:// or the like."""
+    scheme, mark, rest = uri.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}://{rest}" if mark else uri)
+
+
 def _writer(folder: str, archive_bytes: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = fs.FileSystem.from_uri(folder)
+        files, path = _files(folder)
         files.create_dir(path, recursive=True)
         task = TaskContext.get()
         out, name, size, count, done = None, "", 0, 0, 0
@@ -208,9 +216,13 @@ def _writer(folder: str, archive_bytes: int, level: int):
 def write(pages: DataFrame, folder: str, min_revisit: int = 100, archive_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
     """Write a record for every row of pages (page_id, url, html); returns the manifest (archive, records, bytes)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(_frame.as_binary("html"), F.lit(b"")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    first = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    rows = rows.withColumn("shared", F.when(F.octet_length("html") >= min_revisit, F.col("digest")))  # small payloads look up nothing
+    counts = _frame.stored(rows.groupBy("shared").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    first = counts.where("shared is not null and first is not null").select("shared", "first")
     other = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    rows = _frame.look_up(rows, first, "shared", _frame.hot_keys(counts, "shared", "n", total))
+    rows = rows.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
     return _frame.stored(rows.mapInArrow(_writer(folder, archive_bytes, level), "archive string, records long, bytes long"))
 
 
@@ -223,7 +235,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
     for b in batches:
         for archive in b.column("archive").to_pylist():
-            files, path = fs.FileSystem.from_uri(archive)
+            files, path = _files(archive)
             rows: list[tuple] = []
             with files.open_input_stream(path, compression=None) as stream:
                 for r in read_records(stream):

@@ -390,6 +390,15 @@ def test_archives(spark):
     assert warc.archived(spark, pages.limit(0)).count() == 0
 
 
+def test_one_payload_in_most_pages(spark):
+    """A hot payload, a hot empty page and equal payloads without any id."""
+    hot, alone = "<p>" + "y" * 300, "<p>" + "z" * 300
+    rows = [(i + 3, "u", hot if i % 2 else None) for i in range(4000)] + [(None, "v", alone), (None, "w", alone)]
+    got = Counter(map(tuple, warc.archived(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()))
+    digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    assert got == Counter((i, len(h or ""), digest(h), "revisit" if h == hot and i != 4 else "response", 4 if h == hot and i != 4 else None) for i, _, h in rows)
+
+
 # --- 7: top-k
 
 
