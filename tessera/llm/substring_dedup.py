@@ -14,7 +14,8 @@ documents. Hence only |D| of v positions (3 of 7) are hashed and exchanged:
 
 A key is sent once per chunk however often it occurs there, so a passage that a third
 of all documents have costs a bucket one entry per chunk, never one per document.
-Chunks and buckets hold bounded bytes; their number grows with the corpus.
+Chunks (by a hash of id and text, so rows without an id are dealt like others) and
+buckets hold bounded bytes; their number grows with the corpus.
 Anchors are compared by bucket and 32 bits (they only nominate), windows by 64 bits.
 
 Defined cases: null or empty text has no words; a null doc_id counts as larger than
@@ -203,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7, cover: tu
     def wire(*names: str) -> str:
         return ", ".join(f"{n} {'int' if n in ('bucket', 'chunk') else 'binary'}" for n in names)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     texts = dealt.groupBy("chunk")
     back = texts.applyInArrow(anchored, wire("bucket", "chunk", "v0", "v1")).groupBy("bucket").applyInArrow(shared, wire("chunk", "v0"))
     ends = texts.cogroup(back.groupBy("chunk")).applyInArrow(extended, wire("bucket", "chunk", "v0", "v1", "v2")).groupBy("bucket").applyInArrow(first, wire("chunk", "v0", "v1"))

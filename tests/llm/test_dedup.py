@@ -67,6 +67,13 @@ def test_substrings(docs, rows, window, period, cover, chunk, bucket):
     assert sum(s.end - s.start for r in got for s in r.spans) == sum(r.n_removed for r in got)
 
 
+def test_substrings_of_many_rows_without_an_id(spark, rows):
+    """A third of the rows without an id, and one id with many texts: their chunks are as small as any."""
+    more = [(r[0], r[1]) for r in rows] + [(None, f"lead {i} {r[1]}") for i, r in enumerate(rows)] + [(500, f"{r[1]} tail {i}") for i, r in enumerate(rows)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(more, "doc_id long, text string").repartition(5), chunk_bytes=20_000, bucket_bytes=5_000).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text.encode()) for r in got) == _repeats(more, 13)
+
+
 def test_substrings_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
