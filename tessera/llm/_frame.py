@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,3 +94,13 @@ def split_by(key: np.ndarray, *arrays: np.ndarray):
     cuts = np.flatnonzero(np.diff(key)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
         yield int(key[lo]), [a[lo:hi] for a in arrays]
+
+
+def one_blas_thread() -> None:
+    """Inside a task: keep numpy's BLAS to the task's own core, as threads beside it mostly spin. Without OpenBLAS nothing happens."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

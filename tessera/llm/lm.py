@@ -9,11 +9,13 @@ over the class's words for the head, by smoothed corpus counts for a tail class.
 every word, known or not, has a probability and they sum to 1.
 
 * Counts: every training token of the corpus, by packed hash exchange, kept as a table.
-* Training: the training documents are dealt to the rounds by hash, each as a whole, so
-  the rounds together learn from every token once. In a round every task runs truncated
-  backpropagation (bptt steps, the state carried from window to window, Adam) over all
-  tokens of its documents, short streams again until there were that many updates; the
-  tasks' parameters are averaged by token count, piece by piece.
+* Training: the training documents are dealt by a hash of id and text, each as a whole, to
+  streams of about part_bytes, and the streams to the rounds, which together learn from
+  every token once. A stream has its documents in the order of their hashes. In a round
+  truncated backpropagation (bptt steps, the state carried from window to window, Adam)
+  runs over each of its streams, over short ones again until there were that many updates;
+  the parameters are averaged by token count, piece by piece, in the order of the streams.
+  So the model depends on the rows alone, not on their order or partitions.
 * Scoring: whole documents run side by side in lanes, the state carried across windows
   to a document's end; counts of tail words come from the table, once per chunk.
 
@@ -24,6 +26,7 @@ rows get equal scores; other columns are ignored. Words are told apart by 64-bit
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from . import _frame, _text
 from .langid import held_out
 
-TAILS = 32
+TAILS = 64
 LANES, WINDOW, ROWS = 256, 32, 1024
 LOG10 = float(np.log(10.0))
 
@@ -370,32 +373,38 @@ def _frequent(least: int):
     return run
 
 
-def _stream(vocab: Vocabulary, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """All tokens of the batches' texts, an end after each."""
-    kind = np.min_scalar_type(vocab.head + TAILS)
-    out = [np.zeros(0, kind)]
-    for b in batches:
-        for lo, hi, w in _text.read(b.column("text"), lower=True):
-            tokens = np.full(len(w) + hi - lo, vocab.head, kind)
-            tokens[np.arange(len(w)) + w.docs] = vocab.numbers(w.hashes(), tails(w))
-            out.append(tokens)
-    return np.concatenate(out)
+def _numbered(vocab: Vocabulary):
+    """The token numbers of each text, an end after it: rows (part, key, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, w in _text.read(b.column("text"), lower=True):
+                tokens = np.full(len(w) + hi - lo, vocab.head, np.uint16)
+                tokens[np.arange(len(w)) + w.docs] = vocab.numbers(w.hashes(), tails(w))
+                ends = 2 * (w.first + np.arange(hi - lo + 1)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(tokens)])
+                yield pa.record_batch({"part": b.column("part")[lo:hi], "key": b.column("key")[lo:hi], "tokens": packed})
+
+    return run
 
 
 def _trained(model: Model, updates: int, piece: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _stream(model.vocab, batches)
-        if not len(stream):
-            return
-        model.fit(stream, updates)
-        flat = model.flat()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _frame.one_blas_thread()
+        own = copy.copy(model)  # a worker may get several streams
+        own.p = {k: v.copy() for k, v in model.p.items()}
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        stream = np.frombuffer(b"".join(table.column("tokens").take(pa.array(order)).to_pylist()), np.uint16)
+        own.fit(stream, updates)
+        flat = own.flat()
         cuts = range(0, len(flat), piece)
-        yield pa.record_batch({"piece": pa.array(range(len(cuts)), pa.int32()), "weight": pa.array([float(len(stream))] * len(cuts)), "data": pa.array([flat[c : c + piece].tobytes() for c in cuts], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "piece": pa.array(range(len(cuts)), pa.int32()), "weight": pa.array([float(len(stream))] * len(cuts)), "data": pa.array([flat[c : c + piece].tobytes() for c in cuts], pa.binary())})
 
     return run
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by piece and part, the mean of each piece by weight."""
     sums: dict[int, list] = {}
     for b in batches:
         for piece, weight, data in zip(b.column("piece").to_pylist(), b.column("weight").to_pylist(), b.column("data").to_pylist(), strict=True):
@@ -403,11 +412,13 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[0] += weight
             own[1] = own[1] + weight * np.frombuffer(data, np.float32).astype(np.float64)
     if sums:
-        yield pa.record_batch({"piece": pa.array(list(sums), pa.int32()), "weight": pa.array([s[0] for s in sums.values()]), "data": pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())})
+        yield pa.record_batch({"piece": pa.array(list(sums), pa.int32()), "data": pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())})
 
 
-def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 48, updates: int = 100, rounds: int = 2, piece: int = 4096) -> tuple[Model, DataFrame]:
-    """Learn from all of docs (place, text as binary); returns the model and the table of word counts, packed by bucket."""
+def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 64, updates: int = 100, rounds: int = 2, part_bytes: int = 8 << 20, piece: int = 4096) -> tuple[Model, DataFrame]:
+    """Learn from all of docs (key, a hash, and text as binary); returns the model and the table of word counts, packed by bucket."""
+    if head_size + TAILS > 1 << 16:
+        raise ValueError("token numbers have 16 bits")
     buckets = 1 + total_bytes // (16 << 20)
     counts = _frame.stored(docs.select("text").mapInArrow(_counted(buckets), _ROW).groupBy("bucket").applyInArrow(_summed, _ROW))
     sums = {r.tail: r for r in counts.select("bucket", "n", "t").mapInArrow(_classed, "tail int, tokens long, words long").groupBy("tail").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()}
@@ -418,9 +429,13 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
     n, t = np.array([r.n for r in top], np.int64), np.array([r.t for r in top], np.int64)
     tokens, words = tokens - np.bincount(t, weights=n, minlength=TAILS).astype(np.int64), words - np.bincount(t, minlength=TAILS)
     model = Model(vocabulary(np.array([r.h for r in top], np.int64).view(np.uint64), n, classes, ends, tokens, words))
+    parts = rounds * (1 + total_bytes // (rounds * part_bytes))
+    streams = docs.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "text").mapInArrow(_numbered(model.vocab), "part int, key long, tokens binary")
+    streams = _frame.stored(streams)
     for turn in range(rounds):
-        done = docs.where(F.col("place") % rounds == turn).select("text").mapInArrow(_trained(model, updates, piece), "piece int, weight double, data binary")
-        found = sorted(done.repartition("piece").mapInArrow(_averaged, "piece int, weight double, data binary").collect(), key=lambda r: r.piece)
+        done = streams.where(F.col("part") % rounds == turn).groupBy("part").applyInArrow(_trained(model, updates, piece), "part int, piece int, weight double, data binary")
+        found = done.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(_averaged, "piece int, data binary")
+        found = sorted(found.collect(), key=lambda r: r.piece)  # the model: its size is a parameter
         if found:
             model.load(np.concatenate([np.frombuffer(r.data, np.float32) for r in found]))
     return model, counts
@@ -431,8 +446,8 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
     total = _frame.text_bytes(docs)
     chunks, buckets = 1 + total // chunk_bytes, 1 + total // (16 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(fold).alias("held_out"), F.coalesce(_frame.as_binary("text"), F.lit(b"")).alias("text"))
-    place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 40)).alias("place")
-    model, counts = train(rows.where("not held_out").select(place, "text"), total, **kwargs)
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    model, counts = train(rows.where("not held_out").select("key", "text"), total, **kwargs)
     v = model.vocab
     base = float(v.tokens + 0.5 * (v.words + 1))
     tail_base = v.tail_tokens + 0.5 * (v.tail_words + 1)
@@ -459,6 +474,7 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
         return pa.table({"chunk": pa.array(out["chunk"], pa.int32()), "h": pa.array(out["h"], pa.binary()), "n": pa.array(out["n"], pa.binary())})
 
     def scored(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        _frame.one_blas_thread()
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kinds.items()})
         known = np.frombuffer(b"".join(answers.column("h").to_pylist()), np.uint64)
@@ -490,7 +506,7 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
         return pa.table(dict(zip(kinds, values, strict=True)))
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    dealt = rows.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("int")).drop("key")
     texts = dealt.groupBy("chunk")
     wanted = texts.applyInArrow(asked, "bucket int, chunk int, h binary")
     answers = wanted.groupBy("bucket").cogroup(counts.where("bucket >= 0").groupBy("bucket")).applyInArrow(told, "chunk int, h binary, n binary")

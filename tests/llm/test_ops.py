@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, langid, lm, reshard, topk, warc
+from tessera.llm import _text, curriculum, langid, lm, reshard, topk, warc
 
 
 def _fold(doc_id, n):
@@ -71,7 +71,7 @@ def test_state_is_carried_to_the_end():
 
 
 def test_lm_scores(docs, rows):
-    got = lm.score(docs, chunk_bytes=4000, updates=60).toPandas()
+    got = lm.score(docs, chunk_bytes=4000).toPandas()
     lower = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
     tokens = [[*(r[1] or "").encode().translate(lower).split(), "end"] for r in rows]
     counts = Counter(t for r, ts in zip(rows, tokens) if not _fold(r[0], 5) for t in ts)
@@ -85,23 +85,92 @@ def test_lm_scores(docs, rows):
 
 
 def test_lm_learns_from_every_token():
-    """A task passes over its whole stream, however few updates it is asked for, long documents to their end."""
+    """A stream is passed over as a whole, however few updates are asked for, long documents to their end."""
     m, rng, seen = _model(), np.random.default_rng(4), Counter()
     texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh"], n)) for n in [9000, 3, 0, 64, 65, 5000, 200, 1] + [70] * 300]
-    batch = pa.record_batch({"text": pa.array([t.encode() for t in texts], pa.binary())})
-    own = m.gradients
-
-    def counted(x, y, start, h):
+    keys = rng.permutation(len(texts))
+    batch = pa.record_batch({"part": pa.array([0] * len(texts), pa.int32()), "key": keys, "text": pa.array([t.encode() for t in texts], pa.binary())})
+    rows = pa.Table.from_batches(list(lm._numbered(m.vocab)(iter([batch]))))
+    stream = np.concatenate([np.frombuffer(t.as_py(), np.uint16) for t in rows.column("tokens")])
+    assert [len(t.as_py()) // 2 for t in rows.column("tokens")] == [len(t.split()) + 1 for t in texts]
+    own = lm.Model.gradients
+
+    def counted(self, x, y, start, h):
         seen.update(y.ravel().tolist())
-        return own(x, y, start, h)
+        return own(self, x, y, start, h)
 
-    m.gradients = counted
-    (out,) = lm._trained(m, 2, 4096)(iter([batch]))
-    stream = lm._stream(m.vocab, iter([batch]))
-    assert len(stream) == sum(len(t.split()) + 1 for t in texts)
+    lm.Model.gradients = counted
+    try:
+        out = lm._trained(m, 2, 4096)((pa.scalar(0),), rows)
+    finally:
+        lm.Model.gradients = own
     want = Counter(stream.tolist())
     assert all(seen[t] >= n for t, n in want.items()) and sum(seen.values()) < len(stream) + 256
     assert set(out.column("weight").to_pylist()) == {float(len(stream))}
+    assert not np.array_equal(m.flat(), np.frombuffer(b"".join(out.column("data").to_pylist()), np.float32))
+
+
+def test_lm_scores_depend_on_rows_alone(spark, docs):
+    """Many rows without an id, in 1, 4 and 23 partitions: equal scores with the production parameters of the model."""
+    more = docs.select("doc_id", "text").union(docs.select(F.lit(None).cast("long"), F.concat("text", F.lit(" and more"))))
+    got = [sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm.score(more.repartition(n), chunk_bytes=20_000, part_bytes=30_000).collect()) for n in (1, 4, 23)]
+    for a, b, c in zip(*got, strict=True):
+        assert a[:2] == b[:2] == c[:2] and abs(a[3] - b[3]) <= 1e-6 * abs(a[3]) and abs(a[3] - c[3]) <= 1e-6 * abs(a[3])
+
+
+def test_lm_score_is_the_models(spark):
+    """Scores of the operator against the trained parameters applied word by word: class, word in class, tail share."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "dog", "Runs", "sits", "on", f"rare{i}", f"odd{i % 7}"], rng.integers(0, 60))) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lower = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+    words = [t.encode().translate(lower).split() for t in texts]
+    held = [_fold(i, 5) for i in range(80)]
+    counts = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    taken = []
+    train = lm.train
+
+    def spy(*args, **kwargs):
+        taken.append(train(*args, **kwargs))
+        return taken[-1]
+
+    lm.train = spy
+    try:
+        got = {r.doc_id: r.score for r in lm.score(df, head_size=8, classes=3, updates=20).collect()}
+    finally:
+        lm.train = train
+    m = taken[0][0]
+    v, p = m.vocab, {k: x.astype(np.float64) for k, x in m.p.items()}
+    sig, soft = (lambda x: 1 / (1 + np.exp(-x))), (lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum()))
+    hash_of = lambda w: int(next(_text.read(pa.array([w], pa.binary())))[2].hashes()[0])
+    head = {int(h): i for i, h in enumerate(v.hashes)}
+    tail_of = lambda w: int(lm.tails(next(_text.read(pa.array([w], pa.binary())))[2])[0])
+    in_tail = defaultdict(Counter)
+    for w, n in counts.items():
+        if hash_of(w) not in head:
+            in_tail[tail_of(w)][w] = n
+    assert v.head == 8 and sum(map(len, in_tail.values())) + 8 == len(counts)
+    n = m.hidden
+    for i, ws in enumerate(words):
+        h, x, total = np.zeros(n), v.head, 0.0
+        for w in [*ws, None]:
+            g, u = p["E"][x] @ p["W"] + p["b"], h @ p["U"]
+            z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+            c = np.tanh(g[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * c + z * h
+            classes = soft(h @ p["Wc"] + p["bc"])
+            k = len(v.cuts) - 1
+            if w is None:
+                total, x = total + classes[k], v.head
+            elif (number := head.get(hash_of(w))) is not None:
+                own = int(np.searchsorted(v.cuts, number, "right")) - 1
+                inside = soft(p["Wo"][v.cuts[own] : v.cuts[own + 1]] @ h + p["bo"][v.cuts[own] : v.cuts[own + 1]])
+                total, x = total + classes[own] + inside[number - v.cuts[own]], number
+            else:
+                t = tail_of(w)
+                mass = sum(in_tail[t].values()) + 0.5 * (len(in_tail[t]) + 1)
+                total, x = total + classes[k + 1 + t] + np.log((in_tail[t][w] + 0.5) / mass), v.head + 1 + t
+        assert abs(got[i] - total / np.log(10)) < 1e-3 * max(1, abs(got[i])), i
 
 
 def test_lm_of_nothing(empty, spark):
