@@ -7,15 +7,17 @@ remaining norms (Cauchy-Schwarz), so a candidate whose score plus that bound is
 k-th best score minus its bound cannot be among the best: it goes, and the survivors are
 compacted before the next dimensions are read.
 
-Queries are cut into blocks as well; each pair of blocks is a task of bounded memory. The
+Queries are cut into blocks as well; blocks hold bounded bytes, so each pair of blocks is
+a task of bounded memory, however long the vectors are. The
 best of each pair are merged by a window with a limit per group. Neither side is
 broadcast, no pair of vectors leaves a task unless it is among its k best.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as padded with zeros; a null vec_id is never a query and is last
 among ties; rows that share a vec_id are different candidates, and each is a query of its
-own; fewer than k others give them all; scores are exact (a range beyond double's 53 bits
-is computed with Python integers, and a sum beyond 64 bits is cut to the nearest long).
+own; fewer than k others give them all; scores are exact (pairs whose norms allow a sum
+beyond double's 53 bits are computed in limbs of 20 bits, and a sum beyond 64 bits is cut
+to the nearest long, where such ones tie).
 """
 
 from __future__ import annotations
@@ -32,17 +34,23 @@ STEP = 16
 NO_ID = np.iinfo(np.int64).max
 
 
+#: Sums of products below this are exact in double.
+EXACT = 2.0**53
+LIMB, LIMBS = 20, 4
+
+
 def best(queries: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For queries (n, dims) and candidates (dims, m) of whole numbers: query, candidate and score of the k best of each.
 
     own[i] is the candidate that query i is itself, or -1; ties go to the smaller candidate."""
-    if len(queries) and columns.size and float(np.abs(queries).max()) * float(np.abs(columns).max()) * len(columns) >= 2.0**53:
-        return _plain(queries, own, columns, k)
     order = np.argsort(-(columns.astype(np.float64) ** 2).sum(axis=1), kind="stable")
     c, q = columns[order].astype(np.float64), queries[:, order].astype(np.float64)
     cuts = list(range(0, len(c), STEP))
     rest = lambda x: np.sqrt(np.cumsum((x**2)[::-1], axis=0)[::-1])
     c_rest, q_rest = rest(c), rest(q.T)
+    # by Cauchy-Schwarz every partial sum of a pair stays below the product of its norms
+    wide = (q_rest[0] * c_rest[0].max() * (1 + 1e-9) >= EXACT) if c.size and len(q) else np.zeros(len(q), bool)
+    limbs = _limbs(columns) if wide.any() else None
     found = []
     head = q[:, :STEP] @ c[:STEP]
     for i in range(len(q)):
@@ -50,6 +58,10 @@ def best(queries: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> t
         if own[i] >= 0:
             alive = np.delete(alive, own[i])
             score = score[alive]
+        far = alive[:0]
+        if wide[i]:
+            large = q_rest[0, i] * c_rest[0, alive] * (1 + 1e-9) >= EXACT
+            far, alive, score = alive[large], alive[~large], score[~large]
         for lo in cuts[1:]:
             if len(alive) > k:
                 bound = q_rest[lo, i] * c_rest[lo, alive] * (1 + 1e-9) + 1e-6
@@ -62,18 +74,28 @@ def best(queries: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> t
             keep = np.flatnonzero(score >= least)
             alive, score = alive[keep], score[keep]
         pick = np.lexsort((alive, -score))[:k]
-        found.append((np.full(len(pick), i), alive[pick], score[pick].astype(np.int64)))
+        alive, score = alive[pick], score[pick].astype(np.int64)
+        if len(far):
+            low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            both = score.tolist() + [max(low, min(high, x)) for x in _limb_dots(queries[i], limbs[:, :, far])]
+            both = sorted(zip(both, [*alive.tolist(), *far.tolist()], strict=True), key=lambda x: (-x[0], x[1]))[:k]
+            score, alive = (np.array(x, np.int64) for x in zip(*both, strict=True))
+        found.append((np.full(len(alive), i), alive, score))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def _plain(queries: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, c = [], columns.astype(object)
-    for i, q in enumerate(queries.astype(object)):
-        score = [sum(a * b for a, b in zip(q, c[:, j], strict=True)) for j in range(c.shape[1])]
-        pick = sorted((j for j in range(len(score)) if j != own[i]), key=lambda j: (-score[j], j))[:k]
-        low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-        found.append((np.full(len(pick), i), np.array(pick, np.int64), np.array([max(low, min(high, score[j])) for j in pick], np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def _limbs(x: np.ndarray) -> np.ndarray:
+    """(limbs, *x.shape): x is the sum of the limbs times 2**(LIMB * n); all but the last are in [0, 2**LIMB)."""
+    return np.stack([(x >> (LIMB * n)) & ((1 << LIMB) - 1) if n < LIMBS - 1 else x >> (LIMB * n) for n in range(LIMBS)])
+
+
+def _limb_dots(query: np.ndarray, limbs: np.ndarray) -> list[int]:
+    """Exact products of a query with candidates, as Python integers: limb products fit a long for any 2**23 dimensions."""
+    q, total = _limbs(query), 0
+    for shift in range(2 * LIMBS - 1):
+        part = sum(q[n] @ limbs[shift - n] for n in range(LIMBS) if 0 <= shift - n < LIMBS)
+        total = total + part.astype(object) * (1 << LIMB * shift)
+    return list(total)
 
 
 def quantised(vector: Column, scale: float) -> Column:
@@ -91,12 +113,16 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, candidate_block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best others of every row of vectors (vec_id, embedding) for which is_query holds."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, candidate_block: int = 8192, query_block: int = 2048, block_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best others of every row of vectors (vec_id, embedding) for which is_query holds.
+
+    Blocks have candidate_block and query_block rows, or fewer if those of the longest vectors are above block_bytes."""
     whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = _frame.stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    n, asking, dims = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
+    fit = max(1, block_bytes // (8 * max(1, dims or 0)))
+    candidate_block, query_block = min(candidate_block, fit), min(query_block, fit)
     candidate_blocks, query_blocks = 1 + n // candidate_block, 1 + (asking or 0) // query_block
     hashed = F.xxhash64("row")
     base = rows.withColumn("c", F.pmod(hashed, F.lit(candidate_blocks)).cast("int")).withColumn("q", F.pmod(F.xxhash64(hashed), F.lit(query_blocks)).cast("int"))

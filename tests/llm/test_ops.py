@@ -506,6 +506,29 @@ def test_huge_components_stay_exact():
     assert list(zip(i.tolist(), j.tolist(), s.tolist())) == [(0, 0, 2**60 + 21), (0, 1, 5 * 2**40 + 3 * 2**35), (1, 1, min(2**63 - 1, 5 + 2**65))]
 
 
+def test_outliers_among_many_vectors(spark):
+    """A few huge components in a block: those pairs are exact, in a time like that of the others; also as queries."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(12).tolist()) for i in range(1, 600)]
+    for i, x in ((20, 1e17), (33, -1e17), (40, 3e13), (61, 1e9), (80, -1e15)):
+        rows[i - 1] = (i, [x, *rows[i - 1][1][1:]])
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, candidate_block=200)
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    q = {i: [clip(math.floor(64 * x)) for x in v] for i, v in rows}
+    want = Counter()
+    for i in q:
+        if i % 20 == 0:
+            best = sorted((-clip(sum(x * y for x, y in zip(q[i], q[j]))), j) for j in q if j != i)[:20]
+            want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_long_vectors_make_small_blocks(spark):
+    rows = [(i, [float((i * 7 + j) % 11 - 5) for j in range(100)]) for i in range(90)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, block_bytes=8 * 100 * 9)
+    assert Counter(map(tuple, got.collect())) == _top(rows)
+
+
 # --- pipeline and queries
 
 
