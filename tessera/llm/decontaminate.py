@@ -11,7 +11,8 @@ index is built; that changes no result. On the rest stands an FM-index:
 * every SAMPLE-th suffix position, from which occurrences are located by LF steps.
 
 Occurrences are merged into removal spans. Nothing is shuffled: the benchmark goes to the
-tasks in parts of a checked size (max_part_bytes), each searched in a pass of its own.
+tasks in parts of a checked size (max_part_bytes of text, of which the windows are arrays
+of about 12 bytes a byte), each searched in a pass of its own; an item is never cut.
 
 Defined cases: null or empty text has no words and no hits; an item without words is
 ignored; equal item_ids are one item; an item whose id is null marks words but is not
@@ -118,19 +119,19 @@ class Passages:
         w = _text.Words(_text.lower_ascii(data), offs, _text.ALNUM)
         h = w.hashes()
         self.words = np.unique(h)
-        numbers = np.searchsorted(self.words, h) + 1
-        at: dict[tuple[int, ...], set[str | None]] = {}
-        for d, (item, _) in enumerate(items):
-            own = numbers[w.first[d] : w.first[d + 1]].tolist()
-            for i in range(max(1, len(own) - window + 1)) if own else ():
-                at.setdefault(tuple(own[i : i + window]), set()).add(None if item is None else str(item))
-        self.names = sorted({x for v in at.values() for x in v if x is not None})
+        numbers = (np.searchsorted(self.words, h) + 1).astype(np.int32)
+        ids = np.array([None if i is None else str(i) for i, _ in items], object)
+        self.names = sorted({x for x in ids[w.counts > 0] if x is not None})
         number = {x: i for i, x in enumerate(self.names)}
+        item = np.array([-1 if x is None else number.get(x, -1) for x in ids], np.int32)
         self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by length: patterns, first[], item numbers
-        for length in sorted({len(k) for k in at}):
-            own = [(k, sorted(number[x] for x in v if x is not None)) for k, v in at.items() if len(k) == length]
-            first = np.concatenate([[0], np.cumsum([len(v) for _, v in own])])
-            self.groups.append((np.array([k for k, _ in own], np.int64), first, np.array([x for _, v in own for x in v], np.int64)))
+        for length in sorted({min(int(n), window) for n in np.unique(w.counts)} - {0}):
+            at = np.flatnonzero(w.room(window)) if length == window else w.first[:-1][w.counts == length]
+            key, first, which = np.unique(_text.windows(h, at, length), return_index=True, return_inverse=True)
+            patterns = numbers[at[first][:, None] + np.arange(length)]
+            pairs = np.unique(np.stack([which, item[w.docs[at]]], axis=1), axis=0)
+            pairs = pairs[pairs[:, 1] >= 0]
+            self.groups.append((patterns, np.searchsorted(pairs[:, 0], np.arange(len(key) + 1)), pairs[:, 1].astype(np.int32)))
         self.shortest = min((g[0].shape[1] for g in self.groups), default=0)
         self.bits = np.zeros(1 << 18, bool)
         self.bits[(self.words & np.uint64(0x3FFFF)).astype(np.int64)] = True
@@ -193,7 +194,8 @@ class _Shard:
                 at = place[index.locate(rows)]
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + patterns.shape[1], -1)
-                doc = np.searchsorted(first, at, "right") - 1
+                # a document and a window once, however often it occurs there, before its items are listed
+                doc, which = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, which], axis=1), axis=0).T
                 per = item_first[which + 1] - item_first[which]
                 name = item[np.arange(int(per.sum())) + np.repeat(item_first[which] - np.cumsum(per) + per, per)]
                 pairs.append(np.unique(np.stack([np.repeat(doc, per), name], axis=1), axis=0))
@@ -232,11 +234,11 @@ def _parts(benchmark: DataFrame, window: int, max_part_bytes: int) -> list[Calla
     """Makers of the passages of the benchmark's parts, each of a bounded size."""
     items = benchmark.select("item_id", _frame.as_binary("text").alias("text"))
     parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max_part_bytes
-    own = lambda i: items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i)
+    own = lambda i: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
     return [lambda i=i: Passages([(r[0], None if r[1] is None else bytes(r[1])) for r in own(i).collect()], window) for i in range(parts)]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 32 << 20) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 8 << 20) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, spans (merged, in words), items (ids as sorted strings)."""
     parts = _parts(benchmark, window, max_part_bytes)
     schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
@@ -276,7 +278,7 @@ def _flagged(passages: Passages, shard_words: int):
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 32 << 20) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, max_part_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs, with their own columns, in which no benchmark passage occurs."""
     for part in _parts(benchmark, window, max_part_bytes):
         docs = docs.where(~_flagged(part(), shard_words)(_frame.as_binary("text")))

@@ -257,6 +257,30 @@ def test_passages(docs, rows, benchmark, shard, part):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_a_window_that_many_items_share(spark):
+    """3000 items with one boilerplate window, in a document that repeats it 2000 times, and items without an id in several parts."""
+    plate = "fill in the blank with one of the words below"
+    items = [(i, f"{plate} number {i}") for i in range(3000)] + [(None, f"{plate} without {i}") for i in range(50)]
+    rows = [(1, f"{plate} . " * 2000), (2, "nothing of the sort"), (None, f"x {plate} number 7 y")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1 << 25, 40_000):
+        got = decontaminate.find_passages(df, bench, max_part_bytes=part).collect()
+        assert Counter((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r["items"])) for r in got) == _hits(rows, items)
+
+
+def test_benchmark_windows_take_little_memory():
+    import tracemalloc
+
+    text = [(i, " ".join(f"w{(i * 31 + j * 7) % 5000}" for j in range(200)).encode()) for i in range(1000)]
+    size = sum(len(t) for _, t in text)
+    decontaminate.Passages(text[:1], 10)  # what is made once for all
+    tracemalloc.start()
+    passages = decontaminate.Passages(text, 10)
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 16 * size and sum(len(p) for p, _, _ in passages.groups) > 100_000
+
+
 def test_clean_documents_stay(docs, rows, benchmark):
     clean = Counter(i for (i, _, n, _), c in _hits(rows, [tuple(r) for r in benchmark.collect()]).items() for _ in range(c) if not n)
     kept = decontaminate.keep_clean(docs, benchmark, shard_words=100)
