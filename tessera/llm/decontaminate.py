@@ -115,21 +115,24 @@ class Passages:
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int):
         items = [(i, t) for i, t in items if t]
-        offs, data = _text.column(pa.array([t for _, t in items], pa.binary()))
-        w = _text.Words(_text.lower_ascii(data), offs, _text.ALNUM)
-        h = w.hashes()
+        parts = [(w.hashes(), w.counts) for _, _, w in _text.read(pa.array([t for _, t in items], pa.binary()), _text.ALNUM, lower=True)]
+        h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in parts)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        first = np.concatenate([[0], np.cumsum(counts)])
+        docs = np.repeat(np.arange(len(counts)), counts)
+        room = first[1:][docs] - np.arange(len(h))
         self.words = np.unique(h)
         numbers = (np.searchsorted(self.words, h) + 1).astype(np.int32)
         ids = np.array([None if i is None else str(i) for i, _ in items], object)
-        self.names = sorted({x for x in ids[w.counts > 0] if x is not None})
+        self.names = sorted({x for x in ids[counts > 0] if x is not None})
         number = {x: i for i, x in enumerate(self.names)}
         item = np.array([-1 if x is None else number.get(x, -1) for x in ids], np.int32)
         self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by length: patterns, first[], item numbers
-        for length in sorted({min(int(n), window) for n in np.unique(w.counts)} - {0}):
-            at = np.flatnonzero(w.room(window)) if length == window else w.first[:-1][w.counts == length]
-            key, first, which = np.unique(_text.windows(h, at, length), return_index=True, return_inverse=True)
-            patterns = numbers[at[first][:, None] + np.arange(length)]
-            pairs = np.unique(np.stack([which, item[w.docs[at]]], axis=1), axis=0)
+        for length in sorted({min(int(n), window) for n in np.unique(counts)} - {0}):
+            at = np.flatnonzero(room >= window) if length == window else first[:-1][counts == length]
+            key, one, which = np.unique(_text.windows(h, at, length), return_index=True, return_inverse=True)
+            patterns = numbers[at[one][:, None] + np.arange(length)]
+            pairs = np.unique(np.stack([which, item[docs[at]]], axis=1), axis=0)
             pairs = pairs[pairs[:, 1] >= 0]
             self.groups.append((patterns, np.searchsorted(pairs[:, 0], np.arange(len(key) + 1)), pairs[:, 1].astype(np.int32)))
         self.shortest = min((g[0].shape[1] for g in self.groups), default=0)
