@@ -271,7 +271,8 @@ def test_a_window_that_many_items_share(spark):
 def test_benchmark_windows_take_little_memory():
     import tracemalloc
 
-    text = [(i, " ".join(f"w{(i * 31 + j * 7) % 5000}" for j in range(200)).encode()) for i in range(1000)]
+    rng = np.random.default_rng(1)
+    text = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 200)).encode()) for i in range(1000)]
     size = sum(len(t) for _, t in text)
     decontaminate.Passages(text[:1], 10)  # what is made once for all
     tracemalloc.start()
