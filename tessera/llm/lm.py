@@ -142,102 +142,125 @@ class Model:
             self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def states(self, projected: np.ndarray, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps, lanes, hidden) after each input; keep collects what backpropagation needs."""
-        out, n, u = np.empty((*x.shape, self.hidden), np.float32), self.hidden, self.p["U"]
-        for t in range(len(x)):
+    def states(self, inputs: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states (steps, lanes, hidden) after each projected input, which is overwritten; keep collects what backpropagation needs."""
+        out, n, u = np.empty((*start.shape, self.hidden), np.float32), self.hidden, self.p["U"]
+        for t in range(len(start)):
             if start[t].any():
                 h = np.where(start[t][:, None], np.float32(0), h)
-            xp, hu = projected[x[t]], h @ u
-            g = _sigmoid(xp[:, : 2 * n] + hu[:, : 2 * n])
-            z, r = g[:, :n], g[:, n:]
-            c = np.tanh(xp[:, 2 * n :] + r * hu[:, 2 * n :])
+            g, hu = inputs[t], h @ u
+            g[:, : 2 * n] += hu[:, : 2 * n]
+            zr = _sigmoid(g[:, : 2 * n])
+            z, r, c, hu = zr[:, :n], zr[:, n:], g[:, 2 * n :], hu[:, 2 * n :]
+            c += r * hu
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, z, r, c, hu[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
+                keep.append((h, z, r, c, hu))
+            np.multiply(z, h - c, out=out[t])
+            out[t] += c
+            h = out[t]
         return out
 
     def projected(self) -> np.ndarray:
         return self.p["E"] @ self.p["W"] + self.p["b"]
 
+    def _softmax(self, e: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Turns logits of at most that size into exponentials, in place; returns the logs of the rows' sums, with and without what was taken off."""
+        top = None
+        if bound > 60:  # only then can a sum overflow
+            top = e.max(axis=1)
+            e -= top[:, None]
+        np.exp(e, out=e)
+        logs = np.log(e @ np.ones(e.shape[1], e.dtype))
+        return logs if top is None else logs + top, logs
+
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of class times word in class for states (n, hidden) and tokens y (words of the tail: the class alone).
 
         With grads, also adds the gradients of the mean loss and returns that of h."""
-        p, cls = self.p, self.vocab.class_of(y)
-        out = np.empty(len(y))
-        dh = None if grads is None else np.empty_like(h)
-        for lo in range(0, len(y), ROWS):  # in blocks that stay in the cache
+        p, cuts, n = self.p, self.vocab.cuts, len(y)
+        order = np.argsort(y, kind="stable")  # words of a class have consecutive numbers
+        y, h = y[order], h[order]
+        cls = self.vocab.class_of(y)
+        words = int(np.searchsorted(y, self.vocab.head))
+        out, dh = np.empty(n), None if grads is None else np.empty_like(h)
+        one = lambda w, b: float(np.abs(w).sum(axis=0).max(initial=0) + np.abs(b).max(initial=0))
+        bound = one(p["Wc"], p["bc"])  # states are within -1 and 1
+        for lo in range(0, n, ROWS):  # in blocks that stay in the cache
             part = slice(lo, lo + ROWS)
             e = h[part] @ p["Wc"]
             e += p["bc"]
-            e -= e.max(axis=1, keepdims=True)
             rows = np.arange(len(e))
-            mine = e[rows, cls[part]]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            out[part] = mine - np.log(total)
+            out[part] = e[rows, cls[part]]
+            total, logs = self._softmax(e, bound)
+            out[part] -= total
             if grads is not None:
-                e /= total[:, None]
-                e[rows, cls[part]] -= 1
-                e /= len(y)
+                e *= (np.exp(-logs) / n)[:, None]
+                e[rows, cls[part]] -= 1 / n
                 grads["Wc"] += h[part].T @ e
                 grads["bc"] += e.sum(axis=0)
                 dh[part] = e @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        at = np.searchsorted(cls[order], np.arange(len(self.vocab.cuts)))
-        for k in range(len(self.vocab.cuts) - 1):
-            own = order[at[k] : at[k + 1]]
-            lo, hi = self.vocab.cuts[k], self.vocab.cuts[k + 1]
-            if not len(own) or hi - lo == 1:
-                continue
-            e = h[own] @ p["Wo"][lo:hi].T
-            e += p["bo"][lo:hi]
-            e -= e.max(axis=1, keepdims=True)
-            rows, at_ = np.arange(len(own)), y[own] - lo
-            mine = e[rows, at_]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            out[own] += mine - np.log(total)
+        at = np.searchsorted(y, cuts)
+        lone = np.diff(cuts)[cls[:words]] == 1  # the only word of its class has probability 1
+        word, own = y[:words][~lone], h[:words][~lone]
+        mine = p["Wo"][word]
+        out[:words][~lone] += np.einsum("ij,ij->i", own, mine) + p["bo"][word]
+        if grads is not None and len(word):
+            dh[:words][~lone] -= mine / n
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            grads["Wo"][word[first]] -= np.add.reduceat(own, first) / n
+            grads["bo"][word[first]] -= np.diff(np.append(first, len(word))) / n
+        bound = one(p["Wo"].T, p["bo"])
+        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(cuts) > 1)):
+            part, word = slice(at[k], at[k + 1]), slice(cuts[k], cuts[k + 1])
+            e = h[part] @ p["Wo"][word].T
+            e += p["bo"][word]
+            total, logs = self._softmax(e, bound)
+            out[part] -= total
             if grads is not None:
-                e /= total[:, None]
-                e[rows, at_] -= 1
-                e /= len(y)
-                grads["Wo"][lo:hi] += e.T @ h[own]
-                grads["bo"][lo:hi] += e.sum(axis=0)
-                dh[own] += e @ p["Wo"][lo:hi]
-        return out, dh
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Mean loss, gradients and last state of one window (steps, lanes): backpropagation ends at its first step."""
+                e *= (np.exp(-logs) / n)[:, None]
+                grads["Wo"][word] += e.T @ h[part]
+                grads["bo"][word] += e.sum(axis=0)
+                dh[part] += e @ p["Wo"][word]
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return out[back], None if dh is None else dh[back]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray, grads: dict | None = None) -> tuple[float, dict, np.ndarray]:
+        """Mean loss, gradients (added to grads) and last state of one window (steps, lanes): backpropagation ends at its first step."""
         p, n, keep = self.p, self.hidden, []
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        hs = self.states(self.projected(), x, start, h, keep)
+        grads = {k: np.zeros_like(v) for k, v in p.items()} if grads is None else grads
+        ids, of = np.unique(x, return_inverse=True)  # each input is projected once, however often it occurs
+        embedded = p["E"][ids]
+        hs = self.states((embedded @ p["W"] + p["b"])[of.reshape(x.shape)], start, h, keep)
         logs, dh = self.log_probs(hs.reshape(-1, n), y.ravel(), grads)
         dh = dh.reshape(hs.shape)
         after = np.zeros_like(h)
-        dx = np.empty((*x.shape, 3 * n), np.float32)
+        dx, du = np.empty((*x.shape, 3 * n), hs.dtype), np.empty((*x.shape, 3 * n), hs.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, c, hu = keep[t]
             d = dh[t] + after
             dc = d * (1 - z) * (1 - c * c)
-            dz, dr = d * (before - c) * z * (1 - z), dc * hu * r * (1 - r)
-            du = np.concatenate([dz, dr, dc * r], axis=1)
-            grads["U"] += before.T @ du
-            after = d * z + du @ p["U"].T
+            g = dx[t]
+            np.multiply(d * (before - c), z * (1 - z), out=g[:, :n])
+            np.multiply(dc * hu, r * (1 - r), out=g[:, n : 2 * n])
+            g[:, 2 * n :] = dc
+            du[t] = g
+            du[t, :, 2 * n :] *= r
+            after = d * z + du[t] @ p["U"].T
             if start[t].any():
                 after[start[t]] = 0
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-        dx, ids = dx.reshape(-1, 3 * n), x.ravel()
+        grads["U"] += np.concatenate([k[0] for k in keep]).T @ du.reshape(-1, 3 * n)
+        dx = dx.reshape(-1, 3 * n)
         grads["b"] += dx.sum(axis=0)
-        grads["W"] += p["E"][ids].T @ dx
-        order = np.argsort(ids, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-        grads["E"][ids[order[at]]] += np.add.reduceat((dx @ p["W"].T)[order], at)
+        order = np.argsort(of.ravel(), kind="stable")
+        at = np.searchsorted(of.ravel()[order], np.arange(len(ids)))
+        de = np.add.reduceat((dx @ p["W"].T)[order], at)
+        grads["W"] += p["E"][x.ravel()].T @ dx
+        grads["E"][ids] += de
         return -float(logs.mean()), grads, hs[-1]
 
-    def fit(self, stream: np.ndarray, updates: int, bptt: int = 16, lanes: int = 256, rate: float = 0.01) -> float:
+    def fit(self, stream: np.ndarray, updates: int, bptt: int = 16, lanes: int = 512, rate: float = 0.01) -> float:
         """Passes over a stream of tokens (documents, each with its end): one over all of it at least, and until there were that many updates; returns the last losses' mean."""
         if not len(stream):
             return 0.0
@@ -248,23 +271,35 @@ class Model:
         x[0] = self.vocab.head
         x, y = (a.reshape(lanes, steps).T for a in (x, y))
         updates = max(updates, -(-steps // bptt))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # all parameters are views of one array, so an update is a few passes over it
+        flat = self.flat()
+        g, m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+        grads, at = {}, 0
+        for k, w in self.p.items():
+            self.p[k], grads[k] = flat[at : at + w.size].reshape(w.shape), g[at : at + w.size].reshape(w.shape)
+            at += w.size
         done, losses = 0, []
         while done < updates:
             h = np.zeros((lanes, self.hidden), np.float32)
             for lo in range(0, steps, bptt):
                 window = x[lo : lo + bptt].astype(np.int64)
-                loss, grads, h = self.gradients(window, y[lo : lo + bptt].astype(np.int64), window == self.vocab.head, h)
+                g[:] = 0
+                loss, _, h = self.gradients(window, y[lo : lo + bptt].astype(np.int64), window == self.vocab.head, h, grads)
                 losses.append(loss)
                 done += 1
-                norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
-                scale, lr = min(1.0, 2.0 / (norm + 1e-12)), rate * max(0.1, 1 - done / updates)
-                for k, g in grads.items():
-                    g *= np.float32(scale)
-                    m[k] += np.float32(0.1) * (g - m[k])
-                    v[k] += np.float32(0.01) * (g * g - v[k])
-                    self.p[k] -= np.float32(lr * (1 - 0.99**done) ** 0.5 / (1 - 0.9**done)) * m[k] / (np.sqrt(v[k]) + np.float32(1e-7))
+                norm, lr = float(np.sqrt(g @ g)), rate * max(0.1, 1 - done / updates)
+                g *= np.float32(min(1.0, 2.0 / (norm + 1e-12)))
+                for mean, part in ((m, 0.1), (v, 0.01)):
+                    if part == 0.01:
+                        g *= g
+                    np.subtract(g, mean, out=step)
+                    step *= np.float32(part)
+                    mean += step
+                np.sqrt(v, out=step)
+                step += np.float32(1e-7)
+                np.divide(m, step, out=step)
+                step *= np.float32(lr * (1 - 0.99**done) ** 0.5 / (1 - 0.9**done))
+                flat -= step
                 if done >= updates:
                     break
         return float(np.mean(losses[-20:]))
@@ -297,7 +332,7 @@ class Model:
             steps = np.arange(lo, min(lo + WINDOW, int(total[0])))
             there = steps[:, None] < total[None, :live]
             place = np.minimum(begin[None, :live] + steps[:, None], len(y) - 1)
-            hs = self.states(projected, x[place], start[place], h[:live])
+            hs = self.states(projected[x[place]], start[place], h[:live])
             h = hs[-1]
             logs, _ = self.log_probs(hs[there], y[place[there]])
             out += np.bincount(doc[place[there]], weights=logs, minlength=len(length))
@@ -415,7 +450,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"piece": pa.array(list(sums), pa.int32()), "data": pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())})
 
 
-def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 64, updates: int = 100, rounds: int = 2, part_bytes: int = 8 << 20, piece: int = 4096) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 64, updates: int = 100, rounds: int = 2, part_bytes: int = 16 << 20, piece: int = 4096) -> tuple[Model, DataFrame]:
     """Learn from all of docs (key, a hash, and text as binary); returns the model and the table of word counts, packed by bucket."""
     if head_size + TAILS > 1 << 16:
         raise ValueError("token numbers have 16 bits")
