@@ -40,7 +40,9 @@ from . import _frame, _text
 from .langid import held_out
 
 TAILS = 64
-LANES, WINDOW, ROWS = 256, 32, 1024
+LANES, WINDOW = 512, 32
+#: Texts of more bytes are scored beside their like.
+LONG = 1 << 15
 LOG10 = float(np.log(10.0))
 
 
@@ -142,122 +144,129 @@ class Model:
             self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def states(self, inputs: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps, lanes, hidden) after each projected input, which is overwritten; keep collects what backpropagation needs."""
-        out, n, u = np.empty((*start.shape, self.hidden), np.float32), self.hidden, self.p["U"]
-        for t in range(len(start)):
+    def states(self, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states (steps, hidden, lanes) after each token of x (steps, lanes), from h (hidden, lanes); keep collects what backpropagation needs.
+
+        Lanes are the last axis throughout, so that gates are blocks of rows."""
+        n, u, e, w, b = self.hidden, self.p["U"].T, self.p["E"], self.p["W"].T, self.p["b"][:, None]
+        out = np.empty((len(x), n, x.shape[1]), h.dtype)
+        for t in range(len(x)):
             if start[t].any():
-                h = np.where(start[t][:, None], np.float32(0), h)
-            g, hu = inputs[t], h @ u
-            g[:, : 2 * n] += hu[:, : 2 * n]
-            zr = _sigmoid(g[:, : 2 * n])
-            z, r, c, hu = zr[:, :n], zr[:, n:], g[:, 2 * n :], hu[:, 2 * n :]
+                h = h * ~start[t]
+            g, hu = w @ e[x[t]].T, u @ h
+            g += b
+            g[: 2 * n] += hu[: 2 * n]
+            _sigmoid(g[: 2 * n])
+            z, r, c, hu = g[:n], g[n : 2 * n], g[2 * n :], hu[2 * n :]
             c += r * hu
             np.tanh(c, out=c)
             if keep is not None:
                 keep.append((h, z, r, c, hu))
-            np.multiply(z, h - c, out=out[t])
+            np.subtract(h, c, out=out[t])
+            out[t] *= z
             out[t] += c
             h = out[t]
         return out
 
-    def projected(self) -> np.ndarray:
-        return self.p["E"] @ self.p["W"] + self.p["b"]
-
-    def _softmax(self, e: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Turns logits of at most that size into exponentials, in place; returns the logs of the rows' sums, with and without what was taken off."""
-        top = None
-        if bound > 60:  # only then can a sum overflow
-            top = e.max(axis=1)
-            e -= top[:, None]
-        np.exp(e, out=e)
-        logs = np.log(e @ np.ones(e.shape[1], e.dtype))
-        return logs if top is None else logs + top, logs
-
-    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of class times word in class for states (n, hidden) and tokens y (words of the tail: the class alone).
-
-        With grads, also adds the gradients of the mean loss and returns that of h."""
-        p, cuts, n = self.p, self.vocab.cuts, len(y)
-        order = np.argsort(y, kind="stable")  # words of a class have consecutive numbers
-        y, h = y[order], h[order]
-        cls = self.vocab.class_of(y)
-        words = int(np.searchsorted(y, self.vocab.head))
-        out, dh = np.empty(n), None if grads is None else np.empty_like(h)
+    def bounds(self) -> tuple[float, float]:
+        """The largest size that a logit of a class, and of a word in its class, can have: states are within -1 and 1."""
         one = lambda w, b: float(np.abs(w).sum(axis=0).max(initial=0) + np.abs(b).max(initial=0))
-        bound = one(p["Wc"], p["bc"])  # states are within -1 and 1
-        for lo in range(0, n, ROWS):  # in blocks that stay in the cache
-            part = slice(lo, lo + ROWS)
-            e = h[part] @ p["Wc"]
-            e += p["bc"]
-            rows = np.arange(len(e))
-            out[part] = e[rows, cls[part]]
-            total, logs = self._softmax(e, bound)
-            out[part] -= total
+        return one(self.p["Wc"], self.p["bc"]), one(self.p["Wo"].T, self.p["bo"])
+
+    def log_probs(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None, bounds: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log of class times word in class for states (steps, hidden, lanes) and tokens y (steps, lanes) (words of the tail: the class alone).
+
+        With grads, also adds the gradients of the mean loss and returns that of hs."""
+        p, cuts, n = self.p, self.vocab.cuts, y.size
+        cls, (class_bound, word_bound) = self.vocab.class_of(y), bounds or self.bounds()
+        out, dh = np.empty(y.shape), None if grads is None else np.empty_like(hs)
+        wc, bc, lanes, ones = p["Wc"].T, p["bc"][:, None], np.arange(y.shape[1]), np.ones(len(p["bc"]), hs.dtype)
+        for t, h in enumerate(hs):
+            e = wc @ h
+            e += bc
+            if class_bound > 60:  # only then can a sum overflow
+                e -= e.max(axis=0)
+            out[t] = e[cls[t], lanes]
+            np.exp(e, out=e)
+            total = ones @ e
+            out[t] -= np.log(total)
             if grads is not None:
-                e *= (np.exp(-logs) / n)[:, None]
-                e[rows, cls[part]] -= 1 / n
-                grads["Wc"] += h[part].T @ e
-                grads["bc"] += e.sum(axis=0)
-                dh[part] = e @ p["Wc"].T
-        at = np.searchsorted(y, cuts)
-        lone = np.diff(cuts)[cls[:words]] == 1  # the only word of its class has probability 1
-        word, own = y[:words][~lone], h[:words][~lone]
+                e *= 1 / (total * n)
+                e[cls[t], lanes] -= 1 / n
+                grads["Wc"] += h @ e.T
+                grads["bc"] += e @ np.ones(len(lanes), hs.dtype)
+                dh[t] = p["Wc"] @ e
+        alone = np.diff(cuts) == 1  # the only word of its class has probability 1
+        at = np.flatnonzero((y.ravel() < self.vocab.head) & ~np.append(alone, np.ones(1 + TAILS, bool))[cls.ravel()])
+        if not len(at):
+            return out, dh
+        at = at[np.argsort(y.ravel()[at].astype(np.uint16), kind="stable")]  # words of a class have consecutive numbers
+        word = y.ravel()[at]
+        h = np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(n, -1)[at]
         mine = p["Wo"][word]
-        out[:words][~lone] += np.einsum("ij,ij->i", own, mine) + p["bo"][word]
-        if grads is not None and len(word):
-            dh[:words][~lone] -= mine / n
+        logs = np.einsum("ij,ij->i", h, mine) + p["bo"][word]
+        if grads is not None:
+            back = mine / -n
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            grads["Wo"][word[first]] -= np.add.reduceat(own, first) / n
+            grads["Wo"][word[first]] -= np.add.reduceat(h, first) / n
             grads["bo"][word[first]] -= np.diff(np.append(first, len(word))) / n
-        bound = one(p["Wo"].T, p["bo"])
-        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(cuts) > 1)):
-            part, word = slice(at[k], at[k + 1]), slice(cuts[k], cuts[k + 1])
-            e = h[part] @ p["Wo"][word].T
-            e += p["bo"][word]
-            total, logs = self._softmax(e, bound)
-            out[part] -= total
+        ends = np.searchsorted(word, cuts)
+        for k in np.flatnonzero(np.diff(ends)):
+            part, own = slice(ends[k], ends[k + 1]), slice(cuts[k], cuts[k + 1])
+            w, hk = p["Wo"][own], h[part]
+            e = w @ hk.T
+            e += p["bo"][own, None]
+            if word_bound > 60:
+                top = e.max(axis=0)
+                e -= top
+                logs[part] -= top
+            np.exp(e, out=e)
+            total = ones[:1].repeat(len(w)) @ e
+            logs[part] -= np.log(total)
             if grads is not None:
-                e *= (np.exp(-logs) / n)[:, None]
-                grads["Wo"][word] += e.T @ h[part]
-                grads["bo"][word] += e.sum(axis=0)
-                dh[part] += e @ p["Wo"][word]
-        back = np.empty(n, np.int64)
-        back[order] = np.arange(n)
-        return out[back], None if dh is None else dh[back]
+                e *= 1 / (total * n)
+                grads["Wo"][own] += e @ hk
+                grads["bo"][own] += e.sum(axis=1)
+                back[part] += e.T @ w
+        out.ravel()[at] += logs
+        if grads is not None:
+            whole = np.zeros((n, hs.shape[1]), hs.dtype)
+            whole[at] = back
+            dh += whole.reshape(*y.shape, -1).transpose(0, 2, 1)
+        return out, dh
 
     def gradients(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray, grads: dict | None = None) -> tuple[float, dict, np.ndarray]:
         """Mean loss, gradients (added to grads) and last state of one window (steps, lanes): backpropagation ends at its first step."""
         p, n, keep = self.p, self.hidden, []
         grads = {k: np.zeros_like(v) for k, v in p.items()} if grads is None else grads
-        ids, of = np.unique(x, return_inverse=True)  # each input is projected once, however often it occurs
-        embedded = p["E"][ids]
-        hs = self.states((embedded @ p["W"] + p["b"])[of.reshape(x.shape)], start, h, keep)
-        logs, dh = self.log_probs(hs.reshape(-1, n), y.ravel(), grads)
-        dh = dh.reshape(hs.shape)
-        after = np.zeros_like(h)
-        dx, du = np.empty((*x.shape, 3 * n), hs.dtype), np.empty((*x.shape, 3 * n), hs.dtype)
+        hs = self.states(x, start, h, keep)
+        logs, dh = self.log_probs(hs, y, grads)
+        after, du, de = np.zeros_like(h), np.empty((3 * n, x.shape[1]), hs.dtype), np.empty((*x.shape, p["E"].shape[1]), hs.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, c, hu = keep[t]
-            d = dh[t] + after
-            dc = d * (1 - z) * (1 - c * c)
-            g = dx[t]
-            np.multiply(d * (before - c), z * (1 - z), out=g[:, :n])
-            np.multiply(dc * hu, r * (1 - r), out=g[:, n : 2 * n])
-            g[:, 2 * n :] = dc
-            du[t] = g
-            du[t, :, 2 * n :] *= r
-            after = d * z + du[t] @ p["U"].T
+            d, rest = dh[t] + after, 1 - z
+            dc = d * rest
+            dc *= 1 - c * c
+            np.multiply(d, before - c, out=du[:n])
+            rest *= z
+            du[:n] *= rest
+            np.multiply(dc, hu, out=du[n : 2 * n])
+            du[n : 2 * n] *= r * (1 - r)
+            du[2 * n :] = dc
+            grads["W"] += p["E"][x[t]].T @ du.T
+            grads["b"] += du.sum(axis=1)
+            de[t] = du.T @ p["W"].T
+            du[2 * n :] *= r
+            grads["U"] += before @ du.T
+            after = p["U"] @ du
+            d *= z
+            after += d
             if start[t].any():
-                after[start[t]] = 0
-        grads["U"] += np.concatenate([k[0] for k in keep]).T @ du.reshape(-1, 3 * n)
-        dx = dx.reshape(-1, 3 * n)
-        grads["b"] += dx.sum(axis=0)
-        order = np.argsort(of.ravel(), kind="stable")
-        at = np.searchsorted(of.ravel()[order], np.arange(len(ids)))
-        de = np.add.reduceat((dx @ p["W"].T)[order], at)
-        grads["W"] += p["E"][x.ravel()].T @ dx
-        grads["E"][ids] += de
+                after *= ~start[t]
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+        ids = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        grads["E"][ids[first]] += np.add.reduceat(de.reshape(x.size, -1)[order], first)
         return -float(logs.mean()), grads, hs[-1]
 
     def fit(self, stream: np.ndarray, updates: int, bptt: int = 16, lanes: int = 512, rate: float = 0.01) -> float:
@@ -280,7 +289,7 @@ class Model:
             at += w.size
         done, losses = 0, []
         while done < updates:
-            h = np.zeros((lanes, self.hidden), np.float32)
+            h = np.zeros((self.hidden, lanes), np.float32)
             for lo in range(0, steps, bptt):
                 window = x[lo : lo + bptt].astype(np.int64)
                 g[:] = 0
@@ -326,15 +335,15 @@ class Model:
         x[start] = self.vocab.head
         total = total[rename]
         begin = np.cumsum(total) - total
-        out, projected, h = np.zeros(len(length)), self.projected(), np.zeros((lanes, self.hidden), np.float32)
+        out, bounds, h = np.zeros(len(length)), self.bounds(), np.zeros((self.hidden, lanes), np.float32)
         for lo in range(0, int(total[0]) if len(total) else 0, WINDOW):
             live = int(np.searchsorted(-total, -lo, "left"))
             steps = np.arange(lo, min(lo + WINDOW, int(total[0])))
             there = steps[:, None] < total[None, :live]
             place = np.minimum(begin[None, :live] + steps[:, None], len(y) - 1)
-            hs = self.states(projected[x[place]], start[place], h[:live])
+            hs = self.states(x[place], start[place], h[:, :live])
             h = hs[-1]
-            logs, _ = self.log_probs(hs[there], y[place[there]])
+            logs = self.log_probs(hs, y[place], bounds=bounds)[0][there]
             out += np.bincount(doc[place[there]], weights=logs, minlength=len(length))
         return out
 
@@ -478,8 +487,9 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
 
 def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    total = _frame.text_bytes(docs)
-    chunks, buckets = 1 + total // chunk_bytes, 1 + total // (16 << 20)
+    size = F.octet_length("text")
+    total, far = (x or 0 for x in docs.agg(F.sum(size), F.sum(F.when(size > LONG, size))).first())
+    chunks, buckets = [1 + (total - far) // chunk_bytes, 1 + far // chunk_bytes], 1 + total // (16 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(fold).alias("held_out"), F.coalesce(_frame.as_binary("text"), F.lit(b"")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     model, counts = train(rows.where("not held_out").select("key", "text"), total, **kwargs)
@@ -541,7 +551,9 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
         return pa.table(dict(zip(kinds, values, strict=True)))
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    dealt = rows.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("int")).drop("key")
+    # long documents have chunks of their own, as a chunk takes as many steps as its longest document has tokens
+    chunk = F.when(size > LONG, chunks[0] + F.pmod("key", F.lit(chunks[1]))).otherwise(F.pmod("key", F.lit(chunks[0])))
+    dealt = rows.withColumn("chunk", chunk.cast("int")).drop("key")
     texts = dealt.groupBy("chunk")
     wanted = texts.applyInArrow(asked, "bucket int, chunk int, h binary")
     answers = wanted.groupBy("bucket").cogroup(counts.where("bucket >= 0").groupBy("bucket")).applyInArrow(told, "chunk int, h binary, n binary")

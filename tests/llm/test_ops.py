@@ -31,10 +31,10 @@ def test_gradients():
     rng, m = np.random.default_rng(0), _model()
     for k in m.p:
         m.p[k] = m.p[k].astype(np.float64)
-    x, y, start, h = rng.integers(0, 41 + lm.TAILS, (7, 3)), rng.integers(0, 41 + lm.TAILS, (7, 3)), rng.random((7, 3)) < 0.2, rng.standard_normal((3, 6))
+    x, y, start, h = rng.integers(0, 41 + lm.TAILS, (7, 3)), rng.integers(0, 41 + lm.TAILS, (7, 3)), rng.random((7, 3)) < 0.2, rng.uniform(-1, 1, (6, 3))
 
     def loss():
-        return -m.log_probs(m.states(m.projected()[x], start, h).reshape(-1, 6).astype(np.float64), y.ravel())[0].mean()
+        return -m.log_probs(m.states(x, start, h), y)[0].mean()
 
     _, grads, _ = m.gradients(x, y, start, h)
     for k, g in grads.items():
@@ -53,7 +53,7 @@ def test_probabilities_sum_to_one():
     h = np.random.default_rng(1).standard_normal((3, 6)).astype(np.float32)
     every = np.arange(m.vocab.head + 1 + lm.TAILS)
     for row in h:
-        logs, _ = m.log_probs(np.repeat(row[None], len(every), axis=0), every)
+        logs, _ = m.log_probs(np.repeat(row[:, None], len(every), axis=1)[None], every[None])
         assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
@@ -66,8 +66,8 @@ def test_state_is_carried_to_the_end():
     got = m.score(np.concatenate(docs), first)
     for d, want in zip(docs, got):
         x = np.concatenate([[m.vocab.head], d[:-1]])[:, None]
-        hs = m.states(m.projected()[x], np.arange(len(d))[:, None] == 0, np.zeros((1, 6), np.float32))
-        assert abs(m.log_probs(hs[:, 0], d)[0].sum() - want) < 1e-3 * max(1, abs(want))
+        hs = m.states(x, np.arange(len(d))[:, None] == 0, np.zeros((6, 1), np.float32))
+        assert abs(m.log_probs(hs, d[:, None])[0].sum() - want) < 1e-3 * max(1, abs(want))
 
 
 def test_lm_scores(docs, rows):
