@@ -21,7 +21,8 @@ every word, known or not, has a probability and they sum to 1.
 
 Defined cases: null and empty texts are one end token; a null doc_id counts as the empty
 text for the fold; without training documents the model is uniform over classes; equal
-rows get equal scores; other columns are ignored. Words are told apart by 64-bit hashes.
+rows get equal scores; other columns are ignored. Words are told apart by 58 bits of a
+hash and their tail class.
 """
 
 from __future__ import annotations
@@ -53,6 +54,18 @@ def tails(w: _text.Words) -> np.ndarray:
     return (((last * 256 + before) * np.uint32(0x9E3779B1)) >> np.uint32(20)) % TAILS
 
 
+def keys(w: _text.Words) -> np.ndarray:
+    """Words as numbers: 58 bits of the hash, and below them the tail class."""
+    return w.hashes() & ~np.uint64(TAILS - 1) | tails(w).astype(np.uint64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
 @dataclass
 class Vocabulary:
     """Token numbers: head words 0 to H - 1 (class by class), the end H, tail classes from H + 1."""
@@ -73,7 +86,7 @@ class Vocabulary:
         self.order = np.argsort(self.hashes)
         self.sorted = self.hashes[self.order]
         self.bits = np.zeros(1 << 18, bool)
-        self.bits[(self.hashes & np.uint64(0x3FFFF)).astype(np.int64)] = True
+        self.bits[self._low(self.hashes)] = True
         self.tokens = int(self.counts.sum() + self.tail_tokens.sum()) + self.ends
         self.words = int(len(self.hashes) + self.tail_words.sum()) + (self.ends > 0)
 
@@ -85,9 +98,13 @@ class Vocabulary:
     def classes(self) -> int:
         return len(self.cuts) - 1 + 1 + TAILS
 
-    def numbers(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = tail.astype(np.int64) + self.head + 1
-        at = np.flatnonzero(self.bits[(h & np.uint64(0x3FFFF)).astype(np.int64)])
+    @staticmethod
+    def _low(h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(6)) & np.uint64(0x3FFFF)).astype(np.int64)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        out = (h & np.uint64(TAILS - 1)).astype(np.int64) + self.head + 1
+        at = np.flatnonzero(self.bits[self._low(h)])
         if len(at) and self.head:
             found = np.minimum(np.searchsorted(self.sorted, h[at]), self.head - 1)
             same = self.sorted[found] == h[at]
@@ -349,55 +366,49 @@ class Model:
 
 
 def _counted(buckets: int):
-    """Training tokens by hash: rows (bucket, hashes, counts, tails); the ends are a row with bucket -1."""
+    """Training tokens by key: rows (bucket, keys, counts); the ends are a row with bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = 0
         for b in batches:
             ends += b.num_rows
-            hashes, tail = [], []
-            for _, _, w in _text.read(b.column("text"), lower=True):
-                h, where, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                hashes.append(np.stack([h, n.astype(np.uint64)]))
-                tail.append(tails(w)[where])
-            if not hashes:
+            found = [distinct(keys(w)) for _, _, w in _text.read(b.column("text"), lower=True)]
+            if not found or not any(len(h) for h, _ in found):
                 continue
-            (h, n), tail = np.concatenate(hashes, axis=1), np.concatenate(tail)
+            h, n = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(h, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else order
-            if not len(at):
-                continue
-            n, tail, h = np.add.reduceat(n[order], at), tail[order][at], h[order][at]
-            rows = {"bucket": [], "h": [], "n": [], "t": []}
-            for bucket, (x, y, z) in _frame.split_by((h % np.uint64(buckets)).astype(np.int64), h, n.astype(np.int64), tail.astype(np.uint8)):
-                for k, v in zip(rows, (bucket, x.tobytes(), y.tobytes(), z.tobytes()), strict=True):
+            at = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+            n, h = np.add.reduceat(n[order], at), h[order][at]
+            rows = {"bucket": [], "h": [], "n": []}
+            for bucket, (x, y) in _frame.split_by(((h >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64), h, n):
+                for k, v in zip(rows, (bucket, x.tobytes(), y.tobytes()), strict=True):
                     rows[k].append(v)
-            yield pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in "hnt"}})
-        yield pa.record_batch({"bucket": pa.array([-1], pa.int32()), "h": [b""], "n": [np.int64(ends).tobytes()], "t": [b""]})
+            yield pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in "hn"}})
+        yield pa.record_batch({"bucket": pa.array([-1], pa.int32()), "h": [b""], "n": [np.int64(ends).tobytes()]})
 
     return run
 
 
-_ROW = "bucket int, h binary, n binary, t binary"
+_ROW = "bucket int, h binary, n binary"
 
 
 def _summed(key: tuple, table: pa.Table) -> pa.Table:
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    h, n, t = join("h", np.uint64), join("n", np.int64), join("t", np.uint8)
+    h, n = join("h", np.uint64), join("n", np.int64)
     if key[0].as_py() < 0:
-        h, n, t = h, n.sum(keepdims=True), t
+        n = n.sum(keepdims=True)
     else:
         order = np.argsort(h, kind="stable")
         at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        h, n, t = h[order][at], np.add.reduceat(n[order], at), t[order][at]
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "h": [h.tobytes()], "n": [n.tobytes()], "t": [t.tobytes()]})
+        h, n = h[order][at], np.add.reduceat(n[order], at)
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "h": [h.tobytes()], "n": [n.tobytes()]})
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, words, ends = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64), 0
     for b in batches:
-        for bucket, n, t in zip(b.column("bucket").to_pylist(), b.column("n").to_pylist(), b.column("t").to_pylist(), strict=True):
-            n, t = np.frombuffer(n, np.int64), np.frombuffer(t, np.uint8)
+        for bucket, h, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "h", "n")), strict=True):
+            n, t = np.frombuffer(n, np.int64), (np.frombuffer(h, np.uint64) & np.uint64(TAILS - 1)).astype(np.int64)
             if bucket < 0:
                 ends += int(n.sum())
             else:
@@ -409,10 +420,10 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "h", "n", "t")), strict=True):
-                h, n, t = (np.frombuffer(x, d) for x, d in zip(row, (np.int64, np.int64, np.uint8), strict=True))
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "h", "n")), strict=True):
+                h, n = (np.frombuffer(x, np.int64) for x in row)
                 if bucket >= 0 and (keep := n >= least).any():
-                    yield pa.record_batch({"h": h[keep], "n": n[keep], "t": pa.array(t[keep].astype(np.int32))})
+                    yield pa.record_batch({"h": h[keep], "n": n[keep]})
 
     return run
 
@@ -424,7 +435,7 @@ def _numbered(vocab: Vocabulary):
         for b in batches:
             for lo, hi, w in _text.read(b.column("text"), lower=True):
                 tokens = np.full(len(w) + hi - lo, vocab.head, np.uint16)
-                tokens[np.arange(len(w)) + w.docs] = vocab.numbers(w.hashes(), tails(w))
+                tokens[np.arange(len(w)) + w.docs] = vocab.numbers(keys(w))
                 ends = 2 * (w.first + np.arange(hi - lo + 1)).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(tokens)])
                 yield pa.record_batch({"part": b.column("part")[lo:hi], "key": b.column("key")[lo:hi], "tokens": packed})
@@ -465,14 +476,15 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
         raise ValueError("token numbers have 16 bits")
     buckets = 1 + total_bytes // (16 << 20)
     counts = _frame.stored(docs.select("text").mapInArrow(_counted(buckets), _ROW).groupBy("bucket").applyInArrow(_summed, _ROW))
-    sums = {r.tail: r for r in counts.select("bucket", "n", "t").mapInArrow(_classed, "tail int, tokens long, words long").groupBy("tail").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()}
+    sums = {r.tail: r for r in counts.mapInArrow(_classed, "tail int, tokens long, words long").groupBy("tail").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()}
     ends = int(sums[-1].tokens) if sums else 0
     tokens, words = (np.array([int(sums[i][c]) if i in sums else 0 for i in range(TAILS)]) for c in ("tokens", "words"))
     least = 1 + (int(tokens.sum()) + ends >> 20)
-    top = counts.mapInArrow(_frequent(least), "h long, n long, t int").orderBy(F.desc("n"), "h").limit(head_size).collect()
-    n, t = np.array([r.n for r in top], np.int64), np.array([r.t for r in top], np.int64)
+    top = counts.mapInArrow(_frequent(least), "h long, n long").orderBy(F.desc("n"), "h").limit(head_size).collect()
+    n, h = np.array([r.n for r in top], np.int64), np.array([r.h for r in top], np.int64).view(np.uint64)
+    t = (h & np.uint64(TAILS - 1)).astype(np.int64)
     tokens, words = tokens - np.bincount(t, weights=n, minlength=TAILS).astype(np.int64), words - np.bincount(t, minlength=TAILS)
-    model = Model(vocabulary(np.array([r.h for r in top], np.int64).view(np.uint64), n, classes, ends, tokens, words))
+    model = Model(vocabulary(h, n, classes, ends, tokens, words))
     parts = rounds * (1 + total_bytes // (rounds * part_bytes))
     streams = docs.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "text").mapInArrow(_numbered(model.vocab), "part int, key long, tokens binary")
     streams = _frame.stored(streams)
@@ -498,12 +510,10 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
     tail_base = v.tail_tokens + 0.5 * (v.tail_words + 1)
 
     def asked(key: tuple, table: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for _, _, w in _text.read(table.column("text"), lower=True):
-            h = w.hashes()
-            found.append(np.unique(h[v.numbers(h, tails(w)) > v.head]))
-        h = np.unique(np.concatenate(found))
-        parts = [(b, x.tobytes()) for b, (x,) in _frame.split_by((h % np.uint64(buckets)).astype(np.int64), h)]
+        found = [distinct(keys(w))[0] for _, _, w in _text.read(table.column("text"), lower=True)]
+        h, _ = distinct(np.concatenate([np.zeros(0, np.uint64), *found]))
+        h = h[v.numbers(h) > v.head]
+        parts = [(b, x.tobytes()) for b, (x,) in _frame.split_by(((h >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64), h)]
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "h": pa.array([x for _, x in parts], pa.binary())})
 
     def told(key: tuple, wanted: pa.Table, table: pa.Table) -> pa.Table:
@@ -528,15 +538,15 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
         known, n = known[order], n[order]
         tokens, counts_of, extra, sizes = [], [], [], []
         for lo, hi, w in _text.read(table.column("text"), lower=True):
-            h, tail = w.hashes(), tails(w)
-            number = v.numbers(h, tail)
+            h = keys(w)
+            number = v.numbers(h)
             c = np.zeros(len(w), np.int64)
             head = number < v.head
             c[head] = v.counts[number[head]]
             if len(known):
                 at = np.minimum(np.searchsorted(known, h[~head]), len(known) - 1)
                 c[~head] = np.where(known[at] == h[~head], n[at], 0)
-            within = np.where(head, 0.0, np.log((c + 0.5) / tail_base[tail]))
+            within = np.where(head, 0.0, np.log((c + 0.5) / tail_base[(h & np.uint64(TAILS - 1)).astype(np.int64)]))
             place = np.arange(len(w)) + w.docs
             for out, fill, value in ((tokens, v.head, number), (counts_of, v.ends, c), (extra, 0.0, within)):
                 x = np.full(len(w) + hi - lo, fill, value.dtype)

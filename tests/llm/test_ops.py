@@ -142,7 +142,7 @@ def test_lm_score_is_the_models(spark):
     m = taken[0][0]
     v, p = m.vocab, {k: x.astype(np.float64) for k, x in m.p.items()}
     sig, soft = (lambda x: 1 / (1 + np.exp(-x))), (lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum()))
-    hash_of = lambda w: int(next(_text.read(pa.array([w], pa.binary())))[2].hashes()[0])
+    hash_of = lambda w: int(lm.keys(next(_text.read(pa.array([w], pa.binary())))[2])[0])
     head = {int(h): i for i, h in enumerate(v.hashes)}
     tail_of = lambda w: int(lm.tails(next(_text.read(pa.array([w], pa.binary())))[2])[0])
     in_tail = defaultdict(Counter)
