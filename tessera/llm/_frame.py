@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,24 +58,34 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
     return [r[0] for r in counts.where(F.col(n) > max(16, total // HOT)).select(key).collect() if r[0] is not None]
 
 
-def salt(key: str, hot: list) -> Column:
-    """The place of a row among those of its key: rows of hot or null keys are dealt by row numbers to SALTS places.
+def _marked(df: DataFrame, key: str, hot: list) -> DataFrame:
+    """df with __hot: is the key one of the (fewer than HOT) hot ones?"""
+    if not hot:
+        return df.withColumn("__hot", F.lit(False))
+    keys = df.sparkSession.createDataFrame(pa.table({"__key": [bytes(k) if isinstance(k, bytearray) else k for k in hot]}))
+    keys = F.broadcast(keys.select(F.col("__key").cast(df.schema[key].dataType).alias(key), F.lit(True).alias("__hot")))
+    return df.join(keys, key, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+
+
+def dealt(df: DataFrame, key: str, hot: list, salt: str) -> DataFrame:
+    """df with the place (salt) of a row among those of its key: rows of hot or null keys are dealt by row numbers to SALTS places.
 
     The rows must come straight from files, so that a repeated task deals alike."""
-    many = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
-    return F.when(many, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    return _marked(df, key, hot).withColumn(salt, F.when(F.col(key).isNull() | F.col("__hot"), place).otherwise(0).cast("int")).drop("__hot")
 
 
-def places(key: str, hot: list) -> Column:
-    """All places of a key, as rows."""
-    one = F.array(F.lit(0))
-    return F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(one) if hot else one)
+def in_all_places(df: DataFrame, key: str, hot: list, salt: str) -> DataFrame:
+    """df with a copy of each row for every place of its key."""
+    if not hot:
+        return df.withColumn(salt, F.lit(0))
+    places = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return _marked(df, key, hot).withColumn(salt, F.explode(places)).drop("__hot")
 
 
 def look_up(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
     """left (from files) joined with right, which has a key at most once, so that no key's rows are all in one task."""
-    left, right = left.withColumn("__salt", salt(key, hot)), right.withColumn("__salt", places(key, hot))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return dealt(left, key, hot, "__salt").join(in_all_places(right, key, hot, "__salt"), [key, "__salt"], how).drop("__salt")
 
 
 def text_bytes(docs: DataFrame) -> int:

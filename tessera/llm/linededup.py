@@ -251,13 +251,14 @@ def remove_shared_blocks(docs: DataFrame, rare_holders: int = 8, min_line_bytes:
     total, hot = pairs.count(), {}
     for side in ("earlier", "doc_id"):
         hot[side] = _frame.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, "n", total)
-    pairs = pairs.withColumn("s", _frame.salt("doc_id", hot["doc_id"])).withColumn("t", _frame.salt("earlier", hot["earlier"]))
-    own = lines.select("doc_id", "th", "hashes", "sizes", "numbers", _frame.places("doc_id", hot["doc_id"]).alias("s"))
-    before = lines.select(F.col("doc_id").alias("earlier"), F.col("th").alias("earlier_th"), F.col("hashes").alias("x"), _frame.places("doc_id", hot["earlier"]).alias("t"))
+    pairs = _frame.dealt(_frame.dealt(pairs, "doc_id", hot["doc_id"], "s"), "earlier", hot["earlier"], "t")
+    own = _frame.in_all_places(lines.select("doc_id", "th", "hashes", "sizes", "numbers"), "doc_id", hot["doc_id"], "s")
+    before = lines.select(F.col("doc_id").alias("earlier"), F.col("th").alias("earlier_th"), F.col("hashes").alias("x"))
+    before = _frame.in_all_places(before, "earlier", hot["earlier"], "t")
     joined = pairs.join(own, ["doc_id", "th", "s"]).join(before, ["earlier", "earlier_th", "t"])
     spans = joined.select("doc_id", "th", "x", "hashes", "sizes", "numbers").mapInArrow(_aligned(min_block_bytes), f"doc_id long, th long, spans {SPANS}").where("size(spans) > 0")
     spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumn("s", F.lit(0))
     # rows without an id match nothing: they are dealt
-    source = source.withColumn("s", _frame.salt("doc_id", []))
+    source = _frame.dealt(source, "doc_id", [], "s")
     out = source.join(spans, ["doc_id", "th", "s"], "left").withColumn("cut", F.arrow_udf(_cut, f"struct<n_lines: long, n_removed: long, spans: {SPANS}, kept: binary>")("text", "spans"))
     return out.select("doc_id", "cut.n_lines", "cut.n_removed", "cut.spans", F.col("cut.kept").cast("string").alias("kept_text"))

@@ -166,16 +166,16 @@ def components(edges: DataFrame) -> DataFrame:
             return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).union(current.select("b", "b").distinct().join(current.select("a").distinct(), F.col("b") == F.col("a"), "left_anti").toDF("node", "label"))
         before = mark
         n = both(current)
-        least = _frame.stored(n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
-        hot = _frame.hot_keys(least, "a", "n", 2 * mark[0])
-        large = _frame.look_up(n.where("b > a"), least.drop("n"), "a", hot, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        hot = _frame.hot_keys(n.groupBy("a").agg(F.count("*").alias("n")), "a", "n", 2 * mark[0])
+        least = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = _frame.look_up(n.where("b > a"), least, "a", hot, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = _frame.stored(large)
-        small = _frame.stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        hot = _frame.hot_keys(small, "a", "n", mark[0])
-        out = _frame.look_up(large, small.drop("n"), "a", hot, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        hot = _frame.hot_keys(large.groupBy("a").agg(F.count("*").alias("n")), "a", "n", mark[0])
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        out = _frame.look_up(large, small, "a", hot, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = _frame.stored(out)
-        for old in (current, least, large, small):
-            _frame.forget(old)
+        _frame.forget(current)
+        _frame.forget(large)
         current = new
 
 
@@ -193,10 +193,10 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     hot = _frame.hot_keys(mixed, "item", "holders", heads.count())
     heads = _frame.stored(_frame.look_up(heads, mixed.select("item"), "item", hot, "inner"))
     # one side of an item with many holders is dealt, the other is in each place
-    other = heads.select("item", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "at")), _frame.places("item", hot).alias("salt"))
+    other = heads.select("item", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "at")))
     room = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))  # common ones at most, if this is the first
     fits = room >= threshold / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-6
-    pairs = heads.withColumn("salt", _frame.salt("item", hot)).join(other, ["item", "salt"]).where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & fits)
+    pairs = _frame.dealt(heads, "item", hot, "salt").join(_frame.in_all_places(other, "item", hot, "salt"), ["item", "salt"]).where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & fits)
     return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 
@@ -230,9 +230,9 @@ def _labelled(docs: DataFrame, threshold: float, size: int, bands: int, rows: in
         ends, hot = pairs.count(), {}
         for side in ("a", "b"):
             hot[side] = _frame.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, "n", ends)
-        both = pairs.select("a", "b", _frame.salt("a", hot["a"]).alias("s"), _frame.salt("b", hot["b"]).alias("t"))
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x"), _frame.places("node", hot["a"]).alias("s")), ["a", "s"])
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y"), _frame.places("node", hot["b"]).alias("t")), ["b", "t"])
+        both = _frame.dealt(_frame.dealt(pairs, "a", hot["a"], "s"), "b", hot["b"], "t")
+        both = both.join(_frame.in_all_places(sets.toDF("a", "x"), "a", hot["a"], "s"), ["a", "s"])
+        both = both.join(_frame.in_all_places(sets.toDF("b", "y"), "b", hot["b"], "t"), ["b", "t"])
         both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
