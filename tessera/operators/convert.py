@@ -7,7 +7,7 @@ import difflib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -25,10 +25,15 @@ def headings(docs: DataFrame, *keys: str) -> DataFrame:
 
 def outline(found: DataFrame, *keys: str) -> DataFrame:
     """headings with their parent: the last one before of a higher level (line 0 for none)."""
-    a = found.select(*keys, "line", "level", "title")
-    b = found.select(*keys, F.col("line").alias("pl"), F.col("level").alias("pv"))
-    parents = a.join(b, list(keys), "left").groupBy(*keys, "line", "level", "title").agg(F.coalesce(F.max(F.when((F.col("pl") < F.col("line")) & (F.col("pv") < F.col("level")), F.col("pl"))), F.lit(0)).alias("parent"))
-    return parents
+    before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    above = [F.when(F.col("level") > v, F.max(F.when(F.col("level") == v, F.col("line"))).over(before)) for v in range(1, 6)]
+    return found.select(*keys, "line", "level", "title", F.coalesce(F.greatest(*above), F.lit(0)).cast("long").alias("parent"))
+
+
+def outline_files(files: DataFrame) -> DataFrame:
+    """(path, lang, size, breaks): a line for each file (path, lang, size, text)."""
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.select("path", "lang", "size", breaks.cast("long").alias("breaks"))
 
 
 def symbols(files: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from .iterate import settled
 
 MAX_DEPTH = 16
 HUB, HUB_SHOWN = 20, 15
+#: Fixed value: paths that an interactive caller lets a level expand.
 EXPANSIONS = 10_000
 #: Names that are too common to match by name alone.
 DENIED = ("new", "get", "set", "push", "len", "map", "iter", "next", "clone", "to_string", "toString", "unwrap", "into", "from", "default")
@@ -69,10 +70,12 @@ def walk(edges: DataFrame, start: DataFrame, depth: int | None, forward: bool =
     while depth is None or level < depth:
         level += 1
         new = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
-        frontier = settled(new)
+        frontier = settled(new)  # the one table of a level: what was seen is the union of the levels' tables
         if frontier.isEmpty():
             break
-        seen = settled(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if level % 32 == 0:  # of deep walks, so that the union stays short
+            seen = settled(seen)
     return seen
 
 
@@ -97,38 +100,42 @@ def hub_summary(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("nth", F.row_number().over(w.orderBy(*keys))).where((F.col("n") <= HUB) | (F.col("nth") <= HUB_SHOWN)).drop("nth")
 
 
-def simple_paths(edges: DataFrame, start: DataFrame, depth: int, forward: bool = True, budget: int = EXPANSIONS) -> DataFrame:
-    """(path, depth): all paths without a repeated node from start, up to a depth; a budget bounds what a level may expand."""
+def simple_paths(edges: DataFrame, start: DataFrame, depth: int, forward: bool = True, budget: int | None = None) -> DataFrame:
+    """(path, depth, truncated): all paths without a repeated node from start, up to a depth.
+
+    A budget, as EXPANSIONS, keeps only so many paths of a level, the smallest; truncated says whether it took any away."""
     a, b = ("source", "target") if forward else ("target", "source")
     steps = settled(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     level = settled(start.select("node", F.array("node").alias("path")).distinct())
-    out = [level.select("path", F.lit(0).alias("depth"))]
+    out, truncated = [level.select("path", F.lit(0).alias("depth"))], False
     for d in range(1, depth + 1):
-        level = level.join(steps, "node").where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        level = settled(level.orderBy("path").limit(budget))
-        if level.isEmpty():
+        level = settled(level.join(steps, "node").where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")))
+        n = level.count()
+        if not n:
             break
+        if budget is not None and n > budget:
+            level, truncated = settled(level.orderBy("path").limit(budget)), True
         out.append(level.select("path", F.lit(d).alias("depth")))
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
-    return whole
+    return whole.withColumn("truncated", F.lit(truncated))
 
 
-def call_tree(edges: DataFrame, root: int, depth: int) -> DataFrame:
-    """(path, depth, hidden): the tree of calls as paths; a node already on its path is a leaf; hidden counts children below the limit."""
+def call_tree(edges: DataFrame, root: int, depth: int, budget: int | None = None) -> DataFrame:
+    """(path, depth, hidden, truncated): the tree of calls as paths; a node already on its path is a leaf; hidden counts children below the limit."""
     start = edges.select(F.lit(root).cast("long").alias("node")).limit(1)
-    tree = simple_paths(edges, start, depth)
+    tree = simple_paths(edges, start, depth, budget=budget)
     fan = edges.select("source", "target").distinct().groupBy("source").agg(F.count("*").alias("n"))
     last = F.element_at("path", -1)
-    return tree.join(fan, last == F.col("source"), "left").select("path", "depth", F.when(F.col("depth") == depth, F.coalesce("n", F.lit(0))).otherwise(0).alias("hidden"))
+    return tree.join(fan, last == F.col("source"), "left").select("path", "depth", F.when(F.col("depth") == depth, F.coalesce("n", F.lit(0))).otherwise(0).alias("hidden"), "truncated")
 
 
-def trace_paths(edges: DataFrame, target: int, entries: DataFrame, depth: int) -> DataFrame:
-    """(path): from each entry (node) to target, without a repeated node."""
+def trace_paths(edges: DataFrame, target: int, entries: DataFrame, depth: int, budget: int | None = None) -> DataFrame:
+    """(path, depth, truncated): from each entry (node) to target, without a repeated node."""
     start = edges.select(F.lit(target).cast("long").alias("node")).limit(1)
-    rows = simple_paths(edges, start, depth, forward=False).where("depth > 0")
-    return rows.join(entries.select(F.col("node").alias("e")), F.element_at("path", -1) == F.col("e"), "left_semi").select(F.reverse("path").alias("path"), "depth")
+    rows = simple_paths(edges, start, depth, False, budget).where("depth > 0")
+    return rows.join(entries.select(F.col("node").alias("e")), F.element_at("path", -1) == F.col("e"), "left_semi").select(F.reverse("path").alias("path"), "depth", "truncated")
 
 
 def shortest_path(edges: DataFrame, a: int, b: int, depth: int = MAX_DEPTH) -> DataFrame:
@@ -269,6 +276,43 @@ def parameters(signature: Column) -> Column:
     return F.filter(names, lambda x: (x != "") & ~x.isin("self", "this", "cls"))
 
 
+def dedup_sites(sites: DataFrame) -> DataFrame:
+    """Call sites (file, line, target_file, target_symbol, ...), each once: of equal ones the smallest row."""
+    key = ["file", "line", "target_file", "target_symbol"]
+    rest = [c for c in sites.columns if c not in key]
+    return sites.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__r")).select(*key, "__r.*") if rest else sites.distinct()
+
+
+def dispatched_names(refs: DataFrame) -> DataFrame:
+    """(lang, names): the method names that references (lang, method) of a language dispatch, sorted."""
+    return refs.select("lang", "method").distinct().groupBy("lang").agg(F.sort_array(F.collect_list("method")).alias("names"))
+
+
+def file_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file, dep_file): the files that hold the targets of a file's calls."""
+    return edges.select("file", "target").distinct().join(nodes.select(F.col("node").alias("target"), F.col("file").alias("dep_file")), "target").select("file", "dep_file").distinct()
+
+
+def edge_snapshot(edges: DataFrame) -> DataFrame:
+    """(source, target, sites): the distinct edges, with how many call sites each has."""
+    return edges.groupBy("source", "target").agg(F.count_distinct("file", "line").alias("sites"))
+
+
+def graph_counts(edges: DataFrame) -> DataFrame:
+    """(edges, files, sources, targets), one row: edges and nodes counted once each."""
+    return edges.agg(F.count_distinct("source", "target").alias("edges"), F.count_distinct("file").alias("files"), F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets"))
+
+
+def trace_candidates(edges: DataFrame) -> DataFrame:
+    """(target, file, line, n): where each file calls a target first, and how often."""
+    return edges.groupBy("target", "file").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+
+
+def dead_tiers(dead: DataFrame, generated: Column, test_only: Column) -> DataFrame:
+    """dead nodes with their tier: in generated files, used by tests alone, or worth a headline."""
+    return dead.withColumn("tier", F.when(generated, "generated").when(test_only, "test_only").otherwise("headline"))
+
+
 def fold_calls(calls: DataFrame, *keys: str) -> DataFrame:
     """(keys, name, first position, extra): repeated calls of a name count as extras of the first."""
     return calls.groupBy(*keys, "name").agg(F.min("pos").alias("pos"), (F.count("*") - 1).alias("extra"))

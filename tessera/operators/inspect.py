@@ -69,7 +69,7 @@ def duplicated_lines(intervals: DataFrame, totals: DataFrame) -> DataFrame:
 
 def without_mirrors(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """(hash) of groups (hash, file) without those whose files are all in one expected pair (a, b) and include both."""
-    p = pairs.select(F.monotonically_increasing_id().alias("pair"), F.explode(F.array("a", "b")).alias("file"))
+    p = pairs.select(F.struct("a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("file")).distinct()
     sizes = groups.groupBy("hash").agg(F.count_distinct("file").alias("files"))
     covered = groups.select("hash", "file").distinct().join(p, "file").groupBy("hash", "pair").agg(F.count_distinct("file").alias("n")).where("n = 2")
     gone = covered.join(sizes, "hash").where("files = 2").select("hash").distinct()
@@ -105,3 +105,13 @@ def diagnostics(rows: DataFrame) -> DataFrame:
 
 def health(percent: Column) -> Column:
     return F.when(percent >= 50, "high").when(percent > 0, "some").otherwise("none")
+
+
+def memory_estimates(**parts: DataFrame) -> DataFrame:
+    """(subsystem, rows, bytes) of the named tables: the sizes of their texts and arrays, 8 for any other value."""
+    out = None
+    for name, df in parts.items():
+        width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.coalesce(F.greatest(F.size(f.name), F.lit(0)) * 8, F.lit(0)) if f.dataType.typeName() == "array" else F.lit(8) for f in df.schema.fields), F.lit(0))
+        own = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")).select(F.lit(name).alias("subsystem"), "rows", "bytes")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -48,6 +48,25 @@ def lexical_score(docs: DataFrame, query: Sequence[str]) -> DataFrame:
     return rows.select("doc_id", "hits", F.when(F.col("hits") == 0, 0.0).otherwise(F.col("hits") / (1 + F.log(F.greatest("n", F.lit(1))))).alias("score"))
 
 
+def lexical_rank_indexed(index: DataFrame, sizes: DataFrame, query: Sequence[str], most: int = 50) -> DataFrame:
+    """lexical_rank from stored postings (trigram, doc_id) and sizes (doc_id, n): no text is read."""
+    wanted = [grams.packed(t) for t in dict.fromkeys(query)]
+    hits = index.where(F.col("trigram").isin(wanted)).select("trigram", "doc_id")
+    counts = {r.trigram: r.n for r in hits.groupBy("trigram").agg(F.count("*").alias("n")).collect()}  # a row for each query trigram
+    rarest = sorted(counts, key=lambda t: (counts[t], t))[:3]  # packed trigrams are ordered as their texts
+    held = hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.max(F.col("trigram").isin(rarest)).alias("rare"))
+    some = held.where("rare").orderBy("doc_id").limit(200 if len(rarest) == 3 else 500)
+    score = F.col("hits") / (1 + F.log(F.greatest("n", F.lit(1))))
+    return sizes.join(F.broadcast(some), "doc_id").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(most)
+
+
+def escalate(first: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(file, score, zero_result_escalation): first's results (file, score), or the lexical lane's, so marked, if there are none."""
+    some = first.limit(1).agg(F.count("*").alias("some"))  # one row: no second plan, and no question to the driver
+    whole = first.select("file", "score", F.lit(False).alias("zero_result_escalation")).unionByName(lexical.select("file", "score", F.lit(True).alias("zero_result_escalation")))
+    return whole.join(F.broadcast(some), (F.col("some") == 0) == F.col("zero_result_escalation")).drop("some")
+
+
 def lexical_rank(docs: DataFrame, query: Sequence[str], most: int = 50) -> DataFrame:
     """(doc_id, score): documents with one of the three rarest query trigrams, of these the first 200 (500 with fewer trigrams) by id, ranked by score."""
     # which trigrams a text has is a search for each, (?i) folding A-Z only; only the candidates' trigrams are counted

@@ -19,10 +19,14 @@ AS_WRITTEN = ("error[", "Error", "ERROR", "FAILED", "FAIL")
 KEPT_MARK = "[failure lines of the raw output]"
 
 
+#: A word of failure, unless a count of 0 stands before it.
+FAILURE_WORD = r"(?<![a-z0-9_])(?<!(?<![0-9])0{1,9}\s{0,9})(?:fail|failed|failure|failures)(?![a-z0-9_])"
+
+
 def fails(line: Column) -> Column:
-    """Does a line tell a failure: a sign of one, or a count of failures other than 0?"""
+    """Does a line tell a failure: a sign of one, or a word of failure without a count of 0?"""
     low = F.lower(line)
-    out = low.rlike(r"\b[1-9][0-9]* (?:fail|failed|failure|failures)\b") | low.rlike(r"\b(?:failed|failures?): ?[1-9]")
+    out = low.rlike(FAILURE_WORD)
     for x in ANY_CASE:
         out = out | low.contains(x)
     for x in AS_WRITTEN:

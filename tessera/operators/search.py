@@ -20,6 +20,8 @@ MAX_FILE = 1 << 20
 MAX_WALK = 50_000
 MAX_MATCHES = 100
 MAX_GLOB = 100
+#: Files of an index bucket, at least.
+FILES = 4
 
 
 def unsupported(pattern: str) -> str | None:
@@ -109,7 +111,14 @@ def postings(docs: DataFrame) -> DataFrame:
 def write_index(docs: DataFrame, folder: str, buckets: int = 64) -> None:
     """The postings under folder, a directory for each bucket of trigrams, sorted so that row groups can be skipped."""
     rows = postings(docs).withColumn("bucket", F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "trigram", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    # documents of a bucket are dealt to several files, so a trigram that most documents have is not one task's
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(FILES))
+    rows.repartition(F.col("bucket"), part).sortWithinPartitions("bucket", "trigram", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def read_sizes(index: DataFrame) -> DataFrame:
+    """(doc_id, n): how many distinct trigrams each document has."""
+    return index.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def read_index(spark: SparkSession, folder: str, trigrams: set[str] | None = None, buckets: int = 64) -> DataFrame:
@@ -117,11 +126,16 @@ def read_index(spark: SparkSession, folder: str, trigrams: set[str] | None = Non
     rows = spark.read.parquet(folder)
     if trigrams is not None:
         keys = sorted(map(grams.packed, trigrams))
-        own = {r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).collect()}
+        own = set(spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(buckets)).cast("int") for k in keys]).first()) if keys else set()
         rows = rows.where(F.col("bucket").isin(sorted(own)) & F.col("trigram").isin(keys))
     return rows.drop("bucket")
 
 
+def plan_trigrams(plan: TrigramPlan) -> set[str]:
+    """All that a plan looks up."""
+    return plan.all_of.union(*plan.any_of)
+
+
 def snapshot(base: DataFrame, delta: DataFrame, superseded: DataFrame) -> DataFrame:
     """Base postings without superseded documents, and the delta's."""
     return base.join(superseded.select("doc_id"), "doc_id", "left_anti").unionByName(delta)
@@ -143,12 +157,13 @@ def line_table(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def grep(docs: DataFrame, pattern: str, literal: bool = False, ignore_case: bool = False, index: DataFrame | None = None) -> DataFrame:
-    """(doc_id, line, column, line_text, match_text): the first match of each line. With an index, only its candidates are read."""
+    """(doc_id, line, column, line_text, match_text): the first match of each line. With an index, only its candidates are searched."""
     hit = predicate(F.col("text"), pattern, literal, ignore_case)
-    docs = docs.where(hit)  # before lines are made: it reaches the scan
     plan = trigram_plan(pattern, literal, ignore_case)
     if index is not None and not plan.empty:
-        docs = docs.join(candidates(index, plan), "doc_id", "left_semi")
+        docs = docs.join(candidates(index, plan), "doc_id", "left_semi")  # the pattern is left to the lines: as a filter of docs it would go below the join
+    else:
+        docs = docs.where(hit)  # before lines are made: it reaches the scan
     rows = line_table(docs, "doc_id").where(predicate(F.col("line_text"), pattern, literal, ignore_case))
     if literal:
         at = F.instr(text.fold_ascii(F.col("line_text")), pattern.translate(str.maketrans(text.UPPER, text.LOWER))) if ignore_case else F.instr("line_text", pattern)

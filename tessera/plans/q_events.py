@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import convert, events, graph, search
+from tessera.operators import convert, events, graph, inspect, iterate, search
 from tessera.sources import files as fsrc
 from tessera.sources import html
 from tessera.streaming import watch
@@ -114,14 +112,6 @@ def sessions(spark, sf_dir):
     return watch.sessions(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-def _local(spark):
-    """A folder for a stream's checkpoint: the shared one, if the session names it."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp()
-
-
 @query()
 def pattern_watch(spark, sf_dir):
     """Conversations as streams of text, a turn at a time."""
@@ -129,7 +119,23 @@ def pattern_watch(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", "1").option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith(".parquet") else path + "*")
     rows = stream.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("chunk"))
     out = watch.watch(rows, [("the", r"\bthe [a-z]+ing\b", False, False), ("first", "and", True, True)])
-    return watch.run_all(out, "watch_" + sf_dir.replace("/", "_").replace(".", "_").replace("-", "_").replace(":", "_"), "append", _local(spark))
+    return watch.run_all(out, iterate.temporary(spark, "watch"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, min(ts) AS ts FROM events WHERE event_type <> 'error' GROUP BY 1)
+ SELECT user_id AS task_id, ts, epoch(date_trunc('second', now))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS seconds FROM s, n WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL) AND ts <= now - INTERVAL 30 SECOND""")
+def overdue_tasks(spark, sf_dir):
+    """Users are tasks, an error ends one, and it is the time of the last event."""
+    e = table(spark, sf_dir, "events")
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    own = e.where("event_type <> 'error'").select(F.col("user_id").alias("task_id"), "ts")
+    return watch.overdue(own, e.where("event_type = 'error'").select(F.col("user_id").alias("task_id")), now).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT 'documents' AS subsystem, count(*) AS rows, sum(coalesce(strlen(text), 0) + 8)::BIGINT AS bytes FROM documents UNION ALL SELECT 'embeddings', count(*), sum(coalesce(len(embedding), 0) * 8 + 8)::BIGINT FROM embeddings UNION ALL SELECT 'conversations', count(*), sum(coalesce(strlen(text), 0) + coalesce(strlen(role), 0) + 16)::BIGINT FROM conversations")
+def memory_estimates(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    return inspect.memory_estimates(documents=t("documents").select("doc_id", "text"), embeddings=t("embeddings").select("vec_id", "embedding"), conversations=t("conversations").select("conv_id", "turn", "role", "text"))
 
 
 @query("""WITH c AS (SELECT l_orderkey % 30 AS file, l_partkey AS source, l_suppkey AS target FROM lineitem), dep AS (SELECT DISTINCT file, target % 30 AS dep_file FROM c WHERE source % 97 = 0),
@@ -161,7 +167,7 @@ def outline(spark, sf_dir):
 
 @query("WITH " + FILES_SQL + """ SELECT path, lang, size, length(text) - length(replace(text, chr(10), '')) AS breaks FROM files ORDER BY path""")
 def outline_files(spark, sf_dir):
-    return files(spark, sf_dir).select("path", "lang", "size", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("breaks")).orderBy("path")
+    return convert.outline_files(files(spark, sf_dir)).orderBy("path")
 
 
 @query("WITH " + LINES_SQL + " SELECT doc_id, line, substr(line_text, 1, 80) AS text FROM lines WHERE line BETWEEN 2 AND 6")
@@ -260,15 +266,15 @@ def organize_imports(spark, sf_dir):
     return convert.organize_imports(rows)
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS call_id, unnest(['x', '...y', 'z']) AS argument, unnest(['a', 'b', 'c']) AS parameter, unnest([false, true, true]) AS approximate FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 1)")
+@query("SELECT l_orderkey * 10 + l_linenumber AS call_id, unnest(['x', '...y', 'z']) AS argument, unnest(['a', 'b', 'c']) AS parameter, unnest([false, true, true]) AS approximate FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
 def argument_flow(spark, sf_dir):
-    calls = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).distinct().withColumn("callee", F.lit("f")).withColumn("arguments", F.array(F.lit("x"), F.lit("...y"), F.lit("z")))
+    calls = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).distinct().withColumn("callee", F.lit("f")).withColumn("arguments", F.array(F.lit("x"), F.lit("...y"), F.lit("z")))
     f = spark.range(1).select(F.lit("f").alias("name"), graph.parameters(F.lit("fn f(self, a: int, mut b = 2, c)")).alias("parameters"))
     return graph.arguments_to_parameters(calls, f)
 
 
 def _methods(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").where("l_quantity = 2").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.lit("rust").alias("lang"), F.lit("a/b/x.rs").alias("path"), F.when(F.col("l_partkey") % 3 == 0, "HttpClient").when(F.col("l_partkey") % 3 == 1, "http_pool").alias("receiver"), F.when(F.col("l_suppkey") % 2 == 0, "send").otherwise("get").alias("method")).dropDuplicates(["ref_id"])
+    refs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.lit("rust").alias("lang"), F.lit("a/b/x.rs").alias("path"), F.when(F.col("l_partkey") % 3 == 0, "HttpClient").when(F.col("l_partkey") % 3 == 1, "http_pool").alias("receiver"), F.when(F.col("l_suppkey") % 2 == 0, "send").otherwise("get").alias("method")).dropDuplicates(["ref_id"])
     nodes = spark.createDataFrame([(1, "send", "HttpClient::send", "a/b/y.rs", "rust"), (2, "send", "HttpPool::send", "c/d/z.rs", "rust"), (3, "get", "HttpPool::get", "c/d/z.rs", "rust")], "node long, short string, scoped string, path string, lang string")
     return refs, nodes
 
@@ -278,12 +284,12 @@ def method_dispatch(spark, sf_dir):
     return graph.dispatch_edges(*_methods(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS file, 's' || o_orderkey % 20 AS symbol FROM orders), i AS (SELECT DISTINCT l_orderkey % 40 AS f, l_suppkey % 40 AS file, CASE WHEN l_partkey % 199 = 0 THEN '*' ELSE 's' || l_partkey % 20 END AS symbol, CASE WHEN l_partkey % 5 = 0 THEN 'unused' ELSE 'named' END AS kind FROM lineitem WHERE l_quantity = 3 AND l_discount = 0.03),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS file, 's' || o_orderkey % 200 AS symbol FROM orders), i AS (SELECT DISTINCT l_orderkey % 400 AS f, (l_suppkey * 7 + l_linenumber) % 400 AS file, CASE WHEN l_partkey % 1999 = 0 THEN '*' ELSE 's' || l_partkey % 200 END AS symbol, CASE WHEN l_partkey % 5 = 0 THEN 'unused' ELSE 'named' END AS kind FROM lineitem),
  live AS (SELECT * FROM i WHERE kind <> 'unused'), r AS (SELECT 0::BIGINT AS file UNION SELECT live.file FROM r JOIN live ON live.f = r.file), l2 AS (SELECT * FROM live WHERE f IN (SELECT file FROM r))
  SELECT file, symbol, CASE WHEN EXISTS (SELECT 1 FROM l2 WHERE l2.file = e.file AND l2.symbol = e.symbol) OR file = 0 THEN 'used' WHEN EXISTS (SELECT 1 FROM l2 WHERE l2.file = e.file AND l2.symbol = '*') THEN 'uncertain' ELSE 'unused' END AS verdict FROM e""")
 def liveness(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("file"), F.concat(F.lit("s"), (F.col("o_orderkey") % 20).cast("string")).alias("symbol")).distinct()
-    i = table(spark, sf_dir, "lineitem").where("l_quantity = 3 and l_discount = 0.03").select((F.col("l_orderkey") % 40).alias("from_file"), (F.col("l_suppkey") % 40).alias("file"), F.when(F.col("l_partkey") % 199 == 0, "*").otherwise(F.concat(F.lit("s"), (F.col("l_partkey") % 20).cast("string"))).alias("symbol"), F.when(F.col("l_partkey") % 5 == 0, "unused").otherwise("named").alias("kind")).distinct()
+    e = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 400).alias("file"), F.concat(F.lit("s"), (F.col("o_orderkey") % 200).cast("string")).alias("symbol")).distinct()
+    i = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 400).alias("from_file"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 400).alias("file"), F.when(F.col("l_partkey") % 1999 == 0, "*").otherwise(F.concat(F.lit("s"), (F.col("l_partkey") % 200).cast("string"))).alias("symbol"), F.when(F.col("l_partkey") % 5 == 0, "unused").otherwise("named").alias("kind")).distinct()
     none = e.limit(0).withColumn("to_file", F.col("file"))
     return graph.liveness(e, i, none, spark.createDataFrame([(0,)], "file long"))
 

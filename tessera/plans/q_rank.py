@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import shape, text
 from tessera.operators import evalmetrics, ranking
 
-from .registry import documents, query, table
+from .registry import documents, index, query, table
 
 LICENSE = ["lic", "ice", "cen", "ens", "nse"]
 GRAMS_SQL = """g AS (SELECT DISTINCT doc_id, translate(substr(text, i, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents)),
@@ -27,9 +27,22 @@ def lexical_score(spark, sf_dir):
 
 @query("WITH " + LEX_SQL + " SELECT doc_id, round(score, 6) AS score FROM lex")
 def lexical_rank(spark, sf_dir):
+    return ranking.lexical_rank_indexed(*index(spark, sf_dir, set(LICENSE)), LICENSE).withColumn("score", F.round("score", 6))
+
+
+@query("WITH " + LEX_SQL + " SELECT doc_id, round(score, 6) AS score FROM lex")
+def lexical_rank_scan(spark, sf_dir):
+    """Without an index: every text is searched."""
     return ranking.lexical_rank(documents(spark, sf_dir), LICENSE).withColumn("score", F.round("score", 6))
 
 
+@query("WITH " + LEX_SQL + " SELECT doc_id AS file, round(score, 6) AS score, true AS zero_result_escalation FROM lex UNION ALL SELECT doc_id, n_chars::DOUBLE, false FROM documents WHERE doc_id % 50 = 49 AND n_chars < 0")
+def zero_result_escalation(spark, sf_dir):
+    lexical = ranking.lexical_rank_indexed(*index(spark, sf_dir, set(LICENSE)), LICENSE).withColumnRenamed("doc_id", "file")
+    first = documents(spark, sf_dir).where("n_chars < 0").select(F.col("doc_id").alias("file"), F.col("n_chars").cast("double").alias("score"))
+    return ranking.escalate(first, lexical).withColumn("score", F.round("score", 6))
+
+
 def _query_vector(spark, sf_dir):
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()[0])
 
@@ -62,7 +75,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY file, cap_protected ORDER BY gen
 SELECT file, name, round(score, 6) AS score, cap_protected, generated, source FROM (SELECT * FROM k WHERE cap_protected OR nth <= 2 ORDER BY generated, score DESC, file, name LIMIT 20)""")
 def hybrid_fuse(spark, sf_dir):
     d = documents(spark, sf_dir)
-    lex = ranking.lexical_rank(d, LICENSE).join(d.select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("file")).agg(F.max("score").alias("score")).withColumn("generated", F.lit(False))
+    lex = ranking.lexical_rank_indexed(*index(spark, sf_dir, set(LICENSE)), LICENSE).join(d.select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("file")).agg(F.max("score").alias("score")).withColumn("generated", F.lit(False))
     return ranking.fuse(ranking.rerank(_semantic(spark, sf_dir), "mixed", ["N3"]), lex, "mixed", 20).withColumn("score", F.round("score", 6))
 
 

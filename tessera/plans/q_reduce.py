@@ -91,7 +91,21 @@ def compress_outputs(spark, sf_dir):
     return reduce.compress(_outputs(spark, sf_dir))
 
 
-@query("WITH " + LINES_SQL + """, f AS (SELECT doc_id, trim(line_text) AS t, min(line) AS line FROM lines WHERE contains(lower(line_text), 'error:') OR contains(lower(line_text), 'exception') OR contains(lower(line_text), 'traceback') OR contains(line_text, 'Error') OR contains(line_text, 'ERROR') OR contains(line_text, 'FAIL') OR contains(lower(line_text), 'panic') OR contains(lower(line_text), 'not found') OR contains(lower(line_text), 'no such') OR contains(lower(line_text), 'cannot find') GROUP BY 1, 2)
+#: Lines of every kind with counts of their own; the oracle takes zero counts away before it looks for words of failure.
+SIGNALS = ("build failed", " failed", "no_failure here", "failover done", " failures, 2 passed", "failure in step", "tests failed: 3", "FAILED x", "Undefined: y", "all good", "found  failures", "a fail.")
+
+
+@query("""WITH s AS (SELECT event_id, event_id % 12 AS k, event_id // 12 % 3 AS c FROM events), t AS (SELECT event_id, CASE WHEN k IN (1, 4) THEN c::VARCHAR ELSE '' END || ['build failed', ' failed', 'no_failure here', 'failover done', ' failures, 2 passed', 'failure in step', 'tests failed: 3', 'FAILED x', 'Undefined: y', 'all good', 'found ' || c || ' failures', 'a fail.'][k + 1] AS line FROM s),
+ u AS (SELECT *, regexp_replace(lower(line), '(^|[^0-9])0+ *(fail|failed|failure|failures)($|[^a-z0-9_])', '\\1\\3', 'g') AS plain FROM t)
+ SELECT event_id, line, regexp_matches(plain, '(^|[^a-z0-9_])(fail|failed|failure|failures)($|[^a-z0-9_])') OR contains(line, 'FAIL') OR contains(lower(line), 'undefined:') AS fails FROM u""")
+def failure_signals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 12).alias("k"), (F.floor(F.col("event_id") / 12) % 3).cast("string").alias("c"))
+    body = F.replace(F.element_at(F.array(*map(F.lit, SIGNALS)), (F.col("k") + 1).cast("int")), F.lit("found "), F.concat(F.lit("found "), F.col("c")))
+    line = F.concat(F.when(F.col("k").isin(1, 4), F.col("c")).otherwise(""), body)
+    return e.select("event_id", line.alias("line"), reduce.fails(line).alias("fails"))
+
+
+@query("WITH " + LINES_SQL + """, f AS (SELECT doc_id, trim(line_text) AS t, min(line) AS line FROM lines WHERE regexp_matches(lower(line_text), '(^|[^a-z0-9_])(fail|failed|failure|failures)($|[^a-z0-9_])') OR contains(lower(line_text), 'error:') OR contains(lower(line_text), 'exception') OR contains(lower(line_text), 'traceback') OR contains(line_text, 'Error') OR contains(line_text, 'ERROR') OR contains(line_text, 'FAIL') OR contains(lower(line_text), 'panic') OR contains(lower(line_text), 'not found') OR contains(lower(line_text), 'no such') OR contains(lower(line_text), 'cannot find') GROUP BY 1, 2)
  SELECT doc_id, count(*) AS n FROM f WHERE t <> '' GROUP BY 1""")
 def failure_lines(spark, sf_dir):
     lost = reduce.missing_failures(F.col("text"), F.lit(""))
@@ -170,16 +184,16 @@ def conflict_context(spark, sf_dir):
     return inspect.conflict_context(rows, inspect.conflict_regions(rows), 1)
 
 
-@query("""WITH g AS (SELECT DISTINCT l_suppkey AS hash, l_partkey % 4 AS file FROM lineitem WHERE l_quantity < 3), p AS (SELECT hash FROM g GROUP BY 1 HAVING list_sort(list(file)) IN ([0, 1], [2, 3])) SELECT DISTINCT hash FROM g WHERE hash NOT IN (SELECT hash FROM p)""")
+@query("""WITH g AS (SELECT DISTINCT l_orderkey AS hash, l_partkey % 4 AS file FROM lineitem), p AS (SELECT hash FROM g GROUP BY 1 HAVING list_sort(list(file)) IN ([0, 1], [2, 3])) SELECT DISTINCT hash FROM g WHERE hash NOT IN (SELECT hash FROM p)""")
 def mirror_suppression(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_suppkey").alias("hash"), (F.col("l_partkey") % 4).alias("file"))
+    g = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hash"), (F.col("l_partkey") % 4).alias("file")).distinct()
     return inspect.without_mirrors(g, spark.createDataFrame([(0, 1), (2, 3)], "a long, b long"))
 
 
-@query("""SELECT role, pos FROM (SELECT CASE event_type WHEN 'click' THEN 'product' WHEN 'view' THEN 'test' ELSE 'tooling' END AS role, event_id AS pos FROM events WHERE value > 50) ORDER BY CASE role WHEN 'product' THEN 0 WHEN 'test' THEN 1 ELSE 2 END, pos LIMIT 100""")
+@query("""SELECT role, pos FROM (SELECT CASE event_type WHEN 'click' THEN 'product' WHEN 'view' THEN 'test' ELSE 'tooling' END AS role, event_id AS pos FROM events) ORDER BY CASE role WHEN 'product' THEN 0 WHEN 'test' THEN 1 ELSE 2 END, pos LIMIT 100""")
 def ranked_items(spark, sf_dir):
     role = F.when(F.col("event_type") == "click", "product").when(F.col("event_type") == "view", "test").otherwise("tooling")
-    return inspect.ranked_items(table(spark, sf_dir, "events").where("value > 50").select(role.alias("role"), F.col("event_id").alias("pos")))
+    return inspect.ranked_items(table(spark, sf_dir, "events").select(role.alias("role"), F.col("event_id").alias("pos")))
 
 
 @query("""WITH d AS (SELECT DISTINCT user_id AS file, event_id % 50 AS line, CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END AS severity, props AS message FROM events WHERE value < 90) SELECT file, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM d GROUP BY 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import grams, paths
 from tessera.operators import search
 
-from .registry import FILES_SQL, LINES_SQL, documents, files, query
+from .registry import FILES_SQL, LINES_SQL, documents, files, index, query
 
 GREP_SQL = "WITH " + LINES_SQL + r""" SELECT doc_id, line, position({text} IN {line})::BIGINT AS "column", line_text, {match} AS match_text FROM lines WHERE {hit}"""
 
@@ -29,8 +29,9 @@ def grep_ignore_case(spark, sf_dir):
 
 @query("WITH " + LINES_SQL + """ SELECT doc_id, line, strpos(line_text, regexp_extract(line_text, '(?:License|Copyright)[ ,]'))::BIGINT AS "column", line_text, regexp_extract(line_text, '(?:License|Copyright)[ ,]') AS match_text FROM lines WHERE regexp_matches(line_text, '(?:License|Copyright)[ ,]')""")
 def grep_indexed(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return search.grep(docs, "(?:License|Copyright)[ ,]", index=search.postings(docs))
+    pattern = "(?:License|Copyright)[ ,]"
+    stored, _ = index(spark, sf_dir, search.plan_trigrams(search.trigram_plan(pattern)))
+    return search.grep(documents(spark, sf_dir), pattern, index=stored)
 
 
 @query("WITH " + LINES_SQL + """, m AS (SELECT doc_id, line, strpos(line_text, 'the')::BIGINT AS "column", line_text, 'the' AS match_text, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS nth FROM lines WHERE contains(line_text, 'the'))
@@ -102,7 +103,8 @@ def nested_roots(spark, sf_dir):
 @query("""WITH t AS (SELECT DISTINCT doc_id, translate(substr(text, i, 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents))
  SELECT g AS trigram, count(*)::BIGINT AS postings, min(doc_id) AS first_doc FROM t GROUP BY 1""")
 def trigram_index(spark, sf_dir):
-    rows = search.postings(documents(spark, sf_dir)).groupBy("trigram").agg(F.count("*").alias("postings"), F.min("doc_id").alias("first_doc"))
+    """The stored index, read back whole."""
+    rows = index(spark, sf_dir)[0].groupBy("trigram").agg(F.count("*").alias("postings"), F.min("doc_id").alias("first_doc"))
     return rows.withColumn("trigram", grams.shown(F.col("trigram")))
 
 

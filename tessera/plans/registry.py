@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import iterate, search
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +33,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, trigrams: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored trigram index of documents (of some trigrams: their buckets alone are read) and the documents' sizes; written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        postings, sizes = iterate.temporary(spark, "index"), iterate.temporary(spark, "sizes")
+        search.write_index(documents(spark, sf_dir), postings)
+        search.read_sizes(search.read_index(spark, postings)).write.mode("overwrite").parquet(sizes)
+        _INDEXES[key] = postings, sizes
+    postings, sizes = _INDEXES[key]
+    return search.read_index(spark, postings, trigrams), spark.read.parquet(sizes)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: a path from source, number and language, a size and a time."""
     ext = F.when(F.col("lang") == "en", "ts").when(F.col("lang") == "fr", "py").when(F.col("lang") == "de", "rs").otherwise("md")

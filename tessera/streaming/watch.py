@@ -82,8 +82,14 @@ def retry_delay(attempt: int) -> int | None:
     return {1: 15, 2: 30, 3: 60}.get(attempt)
 
 
-def run_all(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drive a stream over what is there now into a table in memory: for tests and batch catch-up."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_all(stream: DataFrame, folder: str) -> DataFrame:
+    """Drive an appending stream over what is there now into files under folder, beside its checkpoint: for batch catch-up. A second call adds what is new."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def overdue(starts: DataFrame, ends: DataFrame, now: Column, after: str = "30 seconds") -> DataFrame:
+    """(task_id, ts, seconds): tasks that started (task_id, ts) longer ago than after and have not ended: one notice each."""
+    running = starts.groupBy("task_id").agg(F.min("ts").alias("ts")).join(ends.select("task_id"), "task_id", "left_anti")
+    return running.where(F.col("ts") <= now - F.expr(f"INTERVAL {after}")).withColumn("seconds", F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp")))

@@ -119,10 +119,38 @@ def test_graph_walks(spark):
     assert [list(r.path) for r in graph.shortest_path(e, 2, 6).collect()] == [[2, 3, 1, 6]] and graph.shortest_path(e, 6, 1).count() == 0
     tree = {tuple(r.path): r.hidden for r in graph.call_tree(e, 1, 2).collect()}
     assert tree == {(1,): 0, (1, 2): 0, (1, 6): 0, (1, 2, 3): 2}
+    assert {r.truncated for r in graph.call_tree(e, 1, 2).collect()} == {False}
+    assert {(tuple(r.path), r.truncated) for r in graph.call_tree(e, 1, 2, budget=1).collect()} == {((1,), True), ((1, 2), True), ((1, 2, 3), True)}
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node long")
     assert {r.node for r in graph.dead_nodes(nodes, e, nodes.where("node = 4")).collect()} == {1, 2, 3, 5, 7}
 
 
+def test_deep_walks(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)], "source long, target long")
+    got = {r.node: r.depth for r in graph.walk(e, spark.createDataFrame([(0,)], "node long"), None).collect()}
+    assert got == {i: i for i in range(71)}
+
+
+def test_zero_results_escalate(spark):
+    some, lexical = (spark.createDataFrame([(f, 1.0)], "file string, score double") for f in "ab")
+    assert [tuple(r) for r in ranking.escalate(some, lexical).collect()] == [("a", 1.0, False)]
+    assert [tuple(r) for r in ranking.escalate(some.limit(0), lexical).collect()] == [("b", 1.0, True)]
+
+
+def test_the_index_gives_what_a_scan_gives(spark, tmp_path):
+    """Literals, alternatives and patterns without trigrams, and ranks, from the stored index."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["License, a\nno", "copyright b", "Copyright c\nLicense d", "lic ens", "", None, "LICENSE\nlicence license,"] * 30)], "doc_id long, text string")
+    search.write_index(docs, str(tmp_path / "index"), 8)
+    whole = search.read_index(spark, str(tmp_path / "index"))
+    for pattern, literal, case in (("(?:License|Copyright)[ ,]", False, False), ("license", True, True), ("ce", True, False), ("l.c", False, False)):
+        plan = search.trigram_plan(pattern, literal, case)
+        index = search.read_index(spark, str(tmp_path / "index"), search.plan_trigrams(plan), 8)
+        assert sorted(search.grep(docs, pattern, literal, case, index).collect()) == sorted(search.grep(docs, pattern, literal, case).collect())
+    for query in (["lic", "ice", "cen"], ["zzz"], ["lic"], []):
+        got = ranking.lexical_rank_indexed(whole, search.read_sizes(whole), query).collect()
+        assert [(r.doc_id, round(r.score, 9)) for r in got] == [(r.doc_id, round(r.score, 9)) for r in ranking.lexical_rank(docs, query).collect()]
+
+
 def test_dispatch(spark):
     refs = spark.createDataFrame([(1, "a/x.rs", "rust", "HttpClient", "send"), (2, "a/x.rs", "rust", "pool", "send"), (3, "a/x.rs", "rust", None, "get"), (4, "a/x.rs", "rust", "client", "send")], "ref_id long, path string, lang string, receiver string, method string")
     nodes = spark.createDataFrame([(10, "send", "HttpClient::send", "a/y.rs", "rust"), (11, "send", "Pool::send", "b/z.rs", "rust"), (12, "get", "Map::get", "a/x.rs", "rust")], "node long, short string, scoped string, path string, lang string")
@@ -136,7 +164,7 @@ def test_intervals(spark):
 
 
 def test_failures(spark):
-    for line, want in {"2 failed": True, "0 failed": False, "error: x": True, "terror": False, "no problem": False, "Traceback (most": True}.items():
+    for line, want in {"2 failed": True, "0 failed": False, "build failed": True, "10 failures": True, "failure in step": True, "00  fail": False, "0% failed": True, "no_failure": False, "failover": False, "1 passed, 0 failed": False, "0 failed, 1 failure": True, "error: x": True, "terror": False, "no problem": False, "Traceback (most": True}.items():
         assert one(spark, reduce.fails(F.lit(line))) is want, line
     raw, small = F.lit("a\nerror: x\nb\nerror: x\nerror: y"), F.lit("error: y")
     assert one(spark, reduce.keep_failures(raw, small, F.lit(1))) == "error: y\n" + reduce.KEPT_MARK + "\nerror: x"
@@ -169,7 +197,7 @@ def test_watch_on_a_stream(spark, tmp_path):
     for i, p in enumerate(parts):
         spark.createDataFrame(p, "task_id string, seq long, chunk string").coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema("task_id string, seq long, chunk string").option("maxFilesPerTrigger", 1).parquet(str(source))
-    got = watch.run_all(watch.watch(stream, [("all", "hello", True, False), ("once", "hel+o", False, True)]), "watched", "append", str(tmp_path / "ckpt"))
+    got = watch.run_all(watch.watch(stream, [("all", "hello", True, False), ("once", "hel+o", False, True)]), str(tmp_path / "out"))
     count = {(r.task_id, r.watch_id): r.n for r in got.groupBy("task_id", "watch_id").agg(F.count("*").alias("n")).collect()}
     assert count == {("t", "all"): 3, ("t", "once"): 1, ("u", "all"): 1, ("u", "once"): 1}
     with pytest.raises(ValueError):
