@@ -123,12 +123,17 @@ def read_sizes(index: DataFrame) -> DataFrame:
 
 def read_index(spark: SparkSession, folder: str, trigrams: set[str] | None = None, buckets: int = 64) -> DataFrame:
     """The postings of some trigrams: only their buckets are read."""
-    rows = spark.read.parquet(folder)
-    if trigrams is not None:
-        keys = sorted(map(grams.packed, trigrams))
-        own = set(spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(buckets)).cast("int") for k in keys]).first()) if keys else set()
-        rows = rows.where(F.col("bucket").isin(sorted(own)) & F.col("trigram").isin(keys))
-    return rows.drop("bucket")
+    if not trigrams:
+        rows = spark.read.parquet(folder).drop("bucket")
+        return rows if trigrams is None else rows.limit(0)
+    keys = sorted(map(grams.packed, trigrams))
+    own = sorted(set(spark.sql("SELECT 1").select(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(buckets)).cast("int") for k in keys]).first()))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [p for p in (f"{folder.rstrip('/')}/bucket={b}" for b in own) if files.exists(path(p))]
+    if not there:
+        return spark.read.parquet(folder).drop("bucket").limit(0)
+    return spark.read.parquet(*there).where(F.col("trigram").isin(keys))
 
 
 def plan_trigrams(plan: TrigramPlan) -> set[str]:

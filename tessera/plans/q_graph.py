@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 
-from .registry import query, table
+from .registry import query, stored_table, table
 
 PAIRS_SQL = """pairs AS (SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target, a.l_orderkey AS file, a.l_linenumber::BIGINT AS line, a.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
 cyc AS (SELECT * FROM pairs), hub AS (SELECT target AS node FROM cyc GROUP BY 1 ORDER BY count(DISTINCT source) DESC, 1 LIMIT 1), fan AS (SELECT source AS node FROM cyc GROUP BY 1 ORDER BY count(DISTINCT target) DESC, 1 LIMIT 1), acyc AS (SELECT DISTINCT least(source, target) AS source, greatest(source, target) AS target, file, line FROM pairs WHERE source <> target),
@@ -15,6 +15,10 @@ redges AS (SELECT ref_id, min(target) AS target FROM refs JOIN pairs ON source =
 
 
 def _pairs(spark, sf_dir):
+    return stored_table(spark, sf_dir, "pairs", lambda: _paired(spark, sf_dir))
+
+
+def _paired(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     a = li.select(F.col("l_partkey").alias("source"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("q"))
     b = li.select(F.col("l_partkey").alias("target"), F.col("l_orderkey").alias("file"), (F.col("l_linenumber") - 1).cast("long").alias("line"))
@@ -36,12 +40,20 @@ def _acyclic(spark, sf_dir):
 
 
 def _refs(spark, sf_dir):
+    return stored_table(spark, sf_dir, "refs", lambda: _referring(spark, sf_dir))
+
+
+def _referring(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_partkey", "l_suppkey")).alias("m"), F.max("l_partkey").alias("p"))
     li = table(spark, sf_dir, "lineitem").join(rows.select("l_orderkey", "l_linenumber", F.col("p").alias("l_partkey")), ["l_orderkey", "l_linenumber", "l_partkey"])
     return li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref_id"), F.col("l_partkey").alias("caller_node"), F.col("l_orderkey").alias("caller_file"), F.col("l_linenumber").cast("long").alias("line"), F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("name")).distinct()
 
 
 def _ref_edges(spark, sf_dir):
+    return stored_table(spark, sf_dir, "ref_edges", lambda: _resolved(spark, sf_dir))
+
+
+def _resolved(spark, sf_dir):
     p = _pairs(spark, sf_dir).select(F.col("source").alias("caller_node"), F.col("file").alias("caller_file"), "line", "target").distinct()
     return _refs(spark, sf_dir).join(p, ["caller_node", "caller_file", "line"]).groupBy("ref_id").agg(F.min("target").alias("target"))
 

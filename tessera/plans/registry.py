@@ -33,19 +33,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-_INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a source that queries share, as an index or a graph: written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        folder = iterate.temporary(spark, name)
+        write(folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
+def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return spark.read.parquet(stored(spark, sf_dir, name, lambda folder: build().write.mode("overwrite").parquet(folder)))
 
 
 def index(spark: SparkSession, sf_dir: str, trigrams: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The stored trigram index of documents (of some trigrams: their buckets alone are read) and the documents' sizes; written once in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        postings, sizes = iterate.temporary(spark, "index"), iterate.temporary(spark, "sizes")
-        search.write_index(documents(spark, sf_dir), postings)
-        search.read_sizes(search.read_index(spark, postings)).write.mode("overwrite").parquet(sizes)
-        _INDEXES[key] = postings, sizes
-    postings, sizes = _INDEXES[key]
-    return search.read_index(spark, postings, trigrams), spark.read.parquet(sizes)
+    """The stored trigram index of documents (of some trigrams: their buckets alone are read) and the documents' sizes."""
+    folder = stored(spark, sf_dir, "index", lambda f: search.write_index(documents(spark, sf_dir), f))
+    sizes = stored_table(spark, sf_dir, "sizes", lambda: search.read_sizes(search.read_index(spark, folder)))
+    return search.read_index(spark, folder, trigrams), sizes
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
