@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOCAL_FOLDER = "/tmp/checkpoints"
 #: A key with more than one HOT-th of the rows is dealt to SALTS tasks.
 HOT, SALTS = 1024, 64
+#: Partitions of a shuffle by group number, at most; beyond that a partition has several groups, one after the other.
+PARTITIONS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,6 +90,11 @@ def look_up(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "
     return dealt(left, key, hot, "__salt").join(in_all_places(right, key, hot, "__salt"), [key, "__salt"], how).drop("__salt")
 
 
+def numbered(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df with the rows of each of n groups (a column with 0 to n - 1) in a partition of their own, up to PARTITIONS of them: hashing would put several together."""
+    return df.repartitionById(min(n, PARTITIONS), F.col(column))
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

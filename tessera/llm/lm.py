@@ -489,7 +489,8 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
     streams = docs.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "text").mapInArrow(_numbered(model.vocab), "part int, key long, tokens binary")
     streams = _frame.stored(streams)
     for turn in range(rounds):
-        done = streams.where(F.col("part") % rounds == turn).groupBy("part").applyInArrow(_trained(model, updates, piece), "part int, piece int, weight double, data binary")
+        own = streams.where(F.col("part") % rounds == turn).withColumn("turn", (F.col("part") / rounds).cast("int"))
+        done = _frame.numbered(own, "turn", parts // rounds).groupBy("turn").applyInArrow(_trained(model, updates, piece), "part int, piece int, weight double, data binary")
         found = done.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(_averaged, "piece int, data binary")
         found = sorted(found.collect(), key=lambda r: r.piece)  # the model: its size is a parameter
         if found:
@@ -564,7 +565,9 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
     # long documents have chunks of their own, as a chunk takes as many steps as its longest document has tokens
     chunk = F.when(size > LONG, chunks[0] + F.pmod("key", F.lit(chunks[1]))).otherwise(F.pmod("key", F.lit(chunks[0])))
     dealt = rows.withColumn("chunk", chunk.cast("int")).drop("key")
-    texts = dealt.groupBy("chunk")
+    by_chunk = lambda df: _frame.numbered(df, "chunk", sum(chunks)).groupBy("chunk")
+    by_bucket = lambda df: _frame.numbered(df, "bucket", buckets).groupBy("bucket")
+    texts = by_chunk(dealt)
     wanted = texts.applyInArrow(asked, "bucket int, chunk int, h binary")
-    answers = wanted.groupBy("bucket").cogroup(counts.where("bucket >= 0").groupBy("bucket")).applyInArrow(told, "chunk int, h binary, n binary")
-    return texts.cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = by_bucket(wanted).cogroup(by_bucket(counts.where("bucket >= 0"))).applyInArrow(told, "chunk int, h binary, n binary")
+    return texts.cogroup(by_chunk(answers)).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

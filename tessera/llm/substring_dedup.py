@@ -205,8 +205,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7, cover: tu
         return ", ".join(f"{n} {'int' if n in ('bucket', 'chunk') else 'binary'}" for n in names)
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _frame.as_binary("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    texts = dealt.groupBy("chunk")
-    back = texts.applyInArrow(anchored, wire("bucket", "chunk", "v0", "v1")).groupBy("bucket").applyInArrow(shared, wire("chunk", "v0"))
-    ends = texts.cogroup(back.groupBy("chunk")).applyInArrow(extended, wire("bucket", "chunk", "v0", "v1", "v2")).groupBy("bucket").applyInArrow(first, wire("chunk", "v0", "v1"))
-    out = texts.cogroup(ends.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept_text binary")
+    by_chunk = lambda df: _frame.numbered(df, "chunk", chunks).groupBy("chunk")
+    by_bucket = lambda df: _frame.numbered(df, "bucket", buckets).groupBy("bucket")
+    texts = by_chunk(dealt)
+    back = by_bucket(texts.applyInArrow(anchored, wire("bucket", "chunk", "v0", "v1"))).applyInArrow(shared, wire("chunk", "v0"))
+    ends = by_bucket(texts.cogroup(by_chunk(back)).applyInArrow(extended, wire("bucket", "chunk", "v0", "v1", "v2"))).applyInArrow(first, wire("chunk", "v0", "v1"))
+    out = texts.cogroup(by_chunk(ends)).applyInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept_text binary")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
