@@ -197,7 +197,7 @@ class Model:
         p, cuts, n = self.p, self.vocab.cuts, y.size
         cls, (class_bound, word_bound) = self.vocab.class_of(y), bounds or self.bounds()
         out, dh = np.empty(y.shape), None if grads is None else np.empty_like(hs)
-        wc, bc, lanes, ones = p["Wc"].T, p["bc"][:, None], np.arange(y.shape[1]), np.ones(len(p["bc"]), hs.dtype)
+        wc, bc, lanes, ones = p["Wc"].T, p["bc"][:, None], np.arange(y.shape[1]), np.ones(max(len(p["bc"]), y.shape[1], int(np.diff(cuts).max(initial=0))), hs.dtype)
         for t, h in enumerate(hs):
             e = wc @ h
             e += bc
@@ -205,13 +205,13 @@ class Model:
                 e -= e.max(axis=0)
             out[t] = e[cls[t], lanes]
             np.exp(e, out=e)
-            total = ones @ e
+            total = ones[: len(e)] @ e
             out[t] -= np.log(total)
             if grads is not None:
                 e *= 1 / (total * n)
                 e[cls[t], lanes] -= 1 / n
                 grads["Wc"] += h @ e.T
-                grads["bc"] += e @ np.ones(len(lanes), hs.dtype)
+                grads["bc"] += e @ ones[: len(lanes)]
                 dh[t] = p["Wc"] @ e
         alone = np.diff(cuts) == 1  # the only word of its class has probability 1
         at = np.flatnonzero((y.ravel() < self.vocab.head) & ~np.append(alone, np.ones(1 + TAILS, bool))[cls.ravel()])
@@ -238,7 +238,7 @@ class Model:
                 e -= top
                 logs[part] -= top
             np.exp(e, out=e)
-            total = ones[:1].repeat(len(w)) @ e
+            total = ones[: len(w)] @ e
             logs[part] -= np.log(total)
             if grads is not None:
                 e *= 1 / (total * n)
@@ -470,7 +470,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"piece": pa.array(list(sums), pa.int32()), "data": pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())})
 
 
-def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 64, updates: int = 100, rounds: int = 2, part_bytes: int = 16 << 20, piece: int = 4096) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int = 48, updates: int = 100, rounds: int = 2, part_bytes: int = 16 << 20, piece: int = 4096) -> tuple[Model, DataFrame]:
     """Learn from all of docs (key, a hash, and text as binary); returns the model and the table of word counts, packed by bucket."""
     if head_size + TAILS > 1 << 16:
         raise ValueError("token numbers have 16 bits")
