@@ -87,38 +87,46 @@ def snippet_budget(spark, sf_dir):
     return ranking.snippets(top, text.lines(F.col("text"))).select("doc_id", "rank", "snippet")
 
 
-ASKED_SQL = """asked AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTINCT url FROM pages UNION SELECT DISTINCT regexp_extract(text, '^[^.]*') FROM conversations UNION SELECT DISTINCT event_type || '_' || event_type FROM events UNION SELECT unnest(['how does it work', 'ERR_TIMEOUT', 'why ERR_TIMEOUT here', 'fooBar', 'where is fooBar set', 'a.*b', 'src/lib/a.ts', 'retry', 'TS2304', '[a-z]+', '']))"""
+#: Queries with the kind that each must have, written down by hand.
+SHAPES = {
+    "how does it work": "natural_language", "": "natural_language", "parse imports": "natural_language", "a list of 404 things in a row": "natural_language",
+    "ERR_TIMEOUT": "error_code", "TS2304": "error_code", "0xdeadBEEF": "error_code", "E1234": "error_code", "error 404": "error_code",
+    "why ERR_TIMEOUT here": "mixed", "where is fooBar set": "mixed", "404 not found": "mixed", "why 500": "mixed", "what is http reply code 404 for": "mixed",
+    "fooBar": "identifier", "retry": "identifier", "snake_case": "identifier", "HTTPServer": "identifier", "io ab": "identifier", "a$": "identifier", "console.log": "path",
+    "a.*b": "regex", "[a-z]+": "regex", "(?=x)": "regex", "foo{2}": "regex", "^main": "regex", "end$": "regex", "(a|b)\\1": "regex", "ab|cd": "regex", "\\bword": "regex",
+    "src/lib/a.ts": "path", "/etc/my file": "path", "C:\\src\\main.rs": "path", "src\\lib\\a.rs": "path", "\\\\host\\share": "path", "ftp://a.b/c": "path", "README.md": "path",
+}
+SHAPES_SQL = ", ".join("('" + q.replace("'", "''") + f"', '{k}')" for q, k in SHAPES.items())
+#: Of the tables' texts the kind follows from what they are: two plain words, addresses, sentences, two joined words.
+ASKED_SQL = f"""talk AS (SELECT DISTINCT regexp_extract(text, '^[^.]*') AS q FROM conversations), spoken AS (SELECT q, list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '') AS ws FROM talk),
+asked AS (SELECT DISTINCT p_name AS q, 'natural_language' AS kind FROM part UNION SELECT DISTINCT url, 'path' FROM pages UNION SELECT DISTINCT event_type || '_' || event_type, 'identifier' FROM events UNION SELECT * FROM (VALUES {SHAPES_SQL})
+ UNION SELECT q, CASE WHEN len(ws) = 0 OR len(ws) > 2 OR (len(ws) = 2 AND len(list_filter(ws, lambda w: regexp_full_match(w, '[a-z][a-z][a-z]+'))) = 2) THEN 'natural_language' ELSE 'identifier' END FROM spoken)"""
 
 
 def _asked(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     q = t("part").select(F.col("p_name").alias("q")).union(t("pages").select("url")).union(t("conversations").select(F.regexp_extract("text", "^[^.]*", 0))).union(t("events").select(F.concat("event_type", F.lit("_"), "event_type")))
-    fixed = ["how does it work", "ERR_TIMEOUT", "why ERR_TIMEOUT here", "fooBar", "where is fooBar set", "a.*b", "src/lib/a.ts", "retry", "TS2304", "[a-z]+", ""]
-    return q.union(spark.createDataFrame([(x,) for x in fixed], "q string")).distinct()
+    return q.union(spark.createDataFrame([(x,) for x in SHAPES], "q string")).where("q is not null").distinct()
 
 
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-SHAPE_SQL = f"""WITH {ASKED_SQL}, t AS (SELECT q, trim(q) AS s FROM asked),
-w AS (SELECT q, s, len(string_split_regex(s, '\\s+')) AS words, lower(string_split(s, ' ')[1]) AS first FROM t),
-p AS (SELECT *, first IN {shape.QUESTION_WORDS} OR words > 2 OR regexp_matches(s, '^[a-z]{{2,}} [a-z]{{2,}}$') AS prose, regexp_matches(s, {_sql(shape.ERROR_CODE)}) AS err, regexp_matches(s, {_sql(shape.CODE)}) AS code FROM w),
-k AS (SELECT q, CASE WHEN s = '' THEN 'natural_language' WHEN regexp_matches(s, {_sql(shape.URL)}) OR regexp_matches(s, {_sql(shape.PATH)}) THEN 'path' WHEN regexp_matches(s, {_sql(shape.REGEX)}) THEN 'regex' WHEN regexp_matches(s, {_sql(shape.FILE)}) THEN 'path'
- WHEN err AND prose THEN 'mixed' WHEN err THEN 'error_code' WHEN code AND prose THEN 'mixed' WHEN code OR (words <= 2 AND NOT prose) THEN 'identifier' ELSE 'natural_language' END AS kind FROM p)
-SELECT q, kind, CASE kind WHEN 'identifier' THEN 0.2 WHEN 'regex' THEN 0.0 WHEN 'natural_language' THEN 0.6 WHEN 'mixed' THEN 0.4 ELSE 0.1 END::DOUBLE AS semantic, CASE kind WHEN 'identifier' THEN 0.8 WHEN 'regex' THEN 1.0 WHEN 'natural_language' THEN 0.4 WHEN 'mixed' THEN 0.6 ELSE 0.9 END::DOUBLE AS lexical,
- kind NOT IN ('regex', 'natural_language') AS use_lexical, CASE kind WHEN 'regex' THEN 'regex' WHEN 'error_code' THEN 'literal' ELSE 'hybrid' END AS mode FROM k"""
-
-
-@query(SHAPE_SQL)
+@query(f"""WITH {ASKED_SQL} SELECT q, kind, CASE kind WHEN 'identifier' THEN 0.2 WHEN 'regex' THEN 0.0 WHEN 'natural_language' THEN 0.6 WHEN 'mixed' THEN 0.4 ELSE 0.1 END::DOUBLE AS semantic, CASE kind WHEN 'identifier' THEN 0.8 WHEN 'regex' THEN 1.0 WHEN 'natural_language' THEN 0.4 WHEN 'mixed' THEN 0.6 ELSE 0.9 END::DOUBLE AS lexical,
+ kind NOT IN ('regex', 'natural_language') AS use_lexical, CASE kind WHEN 'regex' THEN 'regex' WHEN 'error_code' THEN 'literal' ELSE 'hybrid' END AS mode FROM asked WHERE q IS NOT NULL""")
 def query_shapes(spark, sf_dir):
     rows = _asked(spark, sf_dir).withColumn("kind", shape.kind(F.col("q")))
     return rows.withColumn("w", shape.weights(F.col("kind"))).select("q", "kind", "w.semantic", "w.lexical", "w.use_lexical", shape.mode(F.col("kind")).alias("mode"))
 
 
-@query(f"""WITH {ASKED_SQL} SELECT q, array_to_string(list_transform(list_filter(list_sort(list_distinct(regexp_extract_all(q, {_sql(shape.IDENTIFIER)}))), lambda t: regexp_matches(t, {_sql(shape.CODE)}) OR regexp_matches(t, {_sql(shape.ERROR_CODE)})), lambda t: t), '|') AS tokens FROM asked""")
+#: Prose around numbers of its own, with the code-shaped tokens that must be found in it.
+TOKENS_SQL = """SELECT event_id, list_aggregate(list_sort([[], ['fooBar' || event_id], ['a_b', 'x.y'], ['HTTPServer', 'ERR_' || event_id], ['Engine.Index', 'raw text', 'getX']][event_id % 5 + 1]), 'string_agg', '|') AS tokens FROM events"""
+
+
+@query(TOKENS_SQL)
 def code_tokens(spark, sf_dir):
-    return _asked(spark, sf_dir).select("q", F.array_join(F.array_sort(shape.identifier_tokens(F.col("q"), True)), "|").alias("tokens"))
+    n = F.col("event_id").cast("string")
+    said = (F.lit("nothing to see here"), F.concat(F.lit("where is fooBar"), n, F.lit(" set")), F.lit("why does a_b use x.y so"), F.concat(F.lit("the HTTPServer gave ERR_"), n, F.lit(" again")), F.lit("the Engine Index of 'raw text' and getX"))
+    text_ = F.element_at(F.array(*said), (F.col("event_id") % 5 + 1).cast("int"))
+    found = F.array_join(F.array_sort(shape.explicit_code_tokens(text_)), "|")
+    return table(spark, sf_dir, "events").select("event_id", F.nullif(found, F.lit("")).alias("tokens"))
 
 
 @query("""WITH n AS (SELECT DISTINCT n_name AS name, contains(lower(n_name), 'nation_1') AS is_match, levenshtein(lower(n_name), 'nation_1')::BIGINT AS distance FROM nation) SELECT * FROM n WHERE is_match OR distance <= 2 ORDER BY is_match DESC, distance, name LIMIT 25""")
