@@ -219,3 +219,25 @@ def organize_imports(imports: DataFrame) -> DataFrame:
     root = F.substring_index("module", ".", 1)
     group = F.when(F.col("internal"), 2).when(root.isin(*sorted(sys.stdlib_module_names)), 0).otherwise(1)
     return imports.dropDuplicates(["path", "module", "name"]).withColumn("grp", group).orderBy("path", "grp", "module", "name")
+
+
+def apply_patch(files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(path, text, applied): files (path, text) after the hunks (path, nth, old, new) of their path, in order.
+
+    Whole lines are sought from the end of the hunk before on. If one is not found nothing of
+    the file changes (applied is false); a file without hunks is as it was (null). A null text
+    counts as empty where there are hunks."""
+    rows = hunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("nth", "old", "new"))).alias("h"))
+    both = files.join(rows, "path", "left")
+    start = F.struct(F.lit("").alias("done"), F.concat(F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("rest"), F.lit(True).alias("ok"))
+
+    def step(state: Column, h: Column) -> Column:
+        at = F.instr(state["rest"], F.concat(F.lit("\n"), h["old"], F.lit("\n")))
+        found = state["ok"] & (at > 0)
+        done = F.concat(state["done"], F.substring(state["rest"], F.lit(1), at), h["new"])
+        rest = F.substring(state["rest"], at + 1 + F.length(h["old"]), F.length(state["rest"]))
+        return F.struct(F.when(found, done).otherwise(state["done"]).alias("done"), F.when(found, rest).otherwise(state["rest"]).alias("rest"), found.alias("ok"))
+
+    end = both.withColumn("__s", F.when(F.col("h").isNotNull(), F.aggregate("h", start, step)))
+    whole = F.concat("__s.done", "__s.rest")
+    return end.select("path", F.when(F.col("__s.ok"), F.substring(whole, F.lit(2), F.length(whole) - 2)).otherwise(F.col("text")).alias("text"), F.col("__s.ok").alias("applied"))

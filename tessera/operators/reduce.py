@@ -107,6 +107,17 @@ FILTERS = (
     Filter("kubectl", max_lines=60, keep="head"),
     Filter("rsync", strip=(r"/$",), max_lines=40, keep="middle"),
     Filter("curl", strip=(r"^[* <>] ?[A-Za-z-]+: ",), max_lines=80),
+    Filter("ansible-playbook", strip=(r"^(?:ok|skipping): \[", r"^\s*$"), max_lines=100),
+    Filter("aws", max_lines=80, keep="head"),
+    Filter("deno", strip=(r"^(?:Download|Check) ",), max_lines=80),
+    Filter("gh", max_lines=60, keep="head"),
+    Filter("gradle", strip=(r"^> Task \S+ (?:UP-TO-DATE|NO-SOURCE|SKIPPED|FROM-CACHE)$", r"^\s*$"), done_when=r"(?m)^BUILD SUCCESSFUL", done_text="gradle: build successful", max_lines=80),
+    Filter("helm", max_lines=60, keep="head"),
+    Filter("psql", max_lines=80, keep="head"),
+    Filter("uv", strip=(r"^(?:Resolved|Prepared|Audited|Downloading|Building) ", r"^ [+~-] "), max_lines=40),
+    Filter("wc", max_lines=40, keep="tail"),
+    Filter("wget", strip=(r"^\s*\d+K [. ]+", r"^(?:Resolving|Connecting to|HTTP request sent)"), max_lines=40),
+    Filter("xcodebuild", strip=(r"^(?:CompileC|CompileSwift|Ld|CpResource|ProcessInfoPlistFile|CodeSign|builtin-\S+)\b", r"^    (?:cd|export|/)", r"^\s*$"), max_lines=80),
     Filter("event", strip=(r"^view",), line_max=40, cls="list", cls_pattern=r"^click"),
 )
 

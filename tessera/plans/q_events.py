@@ -159,10 +159,25 @@ def headings(spark, sf_dir):
     return convert.headings(table(spark, sf_dir, "pages").select("page_id", body.alias("text")), "page_id")
 
 
-@query("""SELECT page_id, line, level, title, parent FROM (SELECT page_id, unnest([1, 3, 4, 5])::BIGINT AS line, unnest([1, 2, 3, 2])::BIGINT AS level, unnest(['t', 'a', 'b', 'c']) AS title, unnest([0, 1, 3, 1])::BIGINT AS parent FROM pages)""")
+@query("""WITH l AS (SELECT page_id, [1 + page_id % 3, 1 + page_id // 3 % 4, 1 + page_id // 12 % 3, 1 + page_id // 36 % 4] AS v FROM pages), h AS (SELECT page_id, unnest([1, 2, 4, 5])::BIGINT AS line, unnest(v)::BIGINT AS level, unnest(['a', 'b', 'c', 'd']) || page_id AS title FROM l)
+ SELECT *, coalesce((SELECT max(p.line) FROM h p WHERE p.page_id = h.page_id AND p.line < h.line AND p.level < h.level), 0) AS parent FROM h""")
 def outline(spark, sf_dir):
-    rows = convert.headings(table(spark, sf_dir, "pages").select("page_id", F.lit("# t\nx\n## a\n### b\n## c").alias("text")), "page_id")
-    return convert.outline(rows, "page_id")
+    """Headings of levels that the page's number gives."""
+    n = F.col("page_id")
+    mark = lambda level, title: F.concat(F.call_function("repeat", F.lit("#"), (level + 1).cast("int")), F.lit(f" {title}"), n.cast("string"))
+    third = lambda x: F.floor(n / x)
+    body = F.concat_ws("\n", mark(n % 3, "a"), mark(third(3) % 4, "b"), F.lit("text #"), mark(third(12) % 3, "c"), mark(third(36) % 4, "d"))
+    return convert.outline(convert.headings(table(spark, sf_dir, "pages").select("page_id", body.alias("text")), "page_id"), "page_id")
+
+
+@query("WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN text WHEN len(x) = 1 THEN 'A' ELSE array_to_string(list_concat(['A', 'B' || doc_id], x[3:]), chr(10)) END AS text, doc_id % 10 <> 0 AS applied FROM l")
+def apply_patch(spark, sf_dir):
+    """The first two lines of every document; of every tenth the second hunk fits nowhere."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    x = d.select("path", F.split("text", "\n").alias("x"))
+    first = x.select("path", F.lit(1).alias("nth"), F.get("x", F.lit(0)).alias("old"), F.lit("A").alias("new"))
+    second = x.where("size(x) > 1 or path % 10 = 0").select("path", F.lit(2), F.when(F.col("path") % 10 == 0, "no such line in any text").otherwise(F.get("x", F.lit(1))), F.concat(F.lit("B"), F.col("path").cast("string")))
+    return convert.apply_patch(d, first.union(second))
 
 
 @query("WITH " + FILES_SQL + """ SELECT path, lang, size, length(text) - length(replace(text, chr(10), '')) AS breaks FROM files ORDER BY path""")
