@@ -237,11 +237,15 @@ def diff_counts(spark, sf_dir):
 
 
 def _python(spark, sf_dir):
-    code = F.concat(F.lit("import os\nclass C"), F.col("p_partkey").cast("string"), F.lit(":\n    def run(self, a, b=1):\n        return os.path.join(a, b)\n\ndef _f():\n    return print(1)\n"))
+    """A module for each part: two of three have a class, names and arguments follow the number, one in 50 does not parse."""
+    n = F.col("p_partkey")
+    arg = F.concat(F.lit("a"), (n % 5).cast("string"))
+    cls = F.concat(F.lit("class C"), n.cast("string"), F.lit(":\n    def run(self, "), arg, F.lit(", b=1):\n        return os.path.join("), arg, F.lit(", b)\n"))
+    code = F.concat(F.lit("import os\n"), F.when(n % 3 != 0, cls).otherwise(""), F.lit("\ndef _f"), (n % 4).cast("string"), F.lit("():\n    return print(1)\n"), F.when(n % 50 == 7, "def (:\n").otherwise(""))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
 
 
-@query("SELECT 'm' || p_partkey || '.py' AS path, s.name AS name, s.kind AS kind, s.a::BIGINT AS start_line, s.z::BIGINT AS end_line FROM (SELECT p_partkey, unnest([{'name': 'C' || p_partkey, 'kind': 'class', 'a': 2, 'z': 4}, {'name': 'run', 'kind': 'method', 'a': 3, 'z': 4}, {'name': '_f', 'kind': 'function', 'a': 6, 'z': 7}]) AS s FROM part)")
+@query("SELECT 'm' || p_partkey || '.py' AS path, s.name AS name, s.kind AS kind, s.a::BIGINT AS start_line, s.z::BIGINT AS end_line FROM (SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 0 THEN [{'name': '_f' || p_partkey % 4, 'kind': 'function', 'a': 3, 'z': 4}] ELSE [{'name': 'C' || p_partkey, 'kind': 'class', 'a': 2, 'z': 4}, {'name': 'run', 'kind': 'method', 'a': 3, 'z': 4}, {'name': '_f' || p_partkey % 4, 'kind': 'function', 'a': 6, 'z': 7}] END) AS s FROM part WHERE p_partkey % 50 <> 7)")
 def symbols(spark, sf_dir):
     return convert.symbols(_python(spark, sf_dir)).select("path", "name", "kind", "start_line", "end_line")
 
@@ -253,20 +257,20 @@ def embedding_chunks(spark, sf_dir):
     return c.select("path", "name", "kind", convert.embed_text(F.col("path"), F.col("name"), F.col("kind"), F.coalesce("signature", F.lit("")), F.col("body")).alias("text"))
 
 
-@query("SELECT 'm' || p_partkey || '.py' AS path, 3::BIGINT + i AS line, ['    def run(self, a, b=1):', '        return os.path.join(a, b)'][i + 1] AS text FROM part, range(2) t(i)")
+@query("SELECT 'm' || p_partkey || '.py' AS path, 3::BIGINT + i AS line, ['    def run(self, a' || p_partkey % 5 || ', b=1):', '        return os.path.join(a' || p_partkey % 5 || ', b)'][i + 1] AS text FROM part, range(2) t(i) WHERE p_partkey % 3 <> 0 AND p_partkey % 50 <> 7")
 def zoom(spark, sf_dir):
     f = _python(spark, sf_dir)
     return convert.zoom(f, convert.symbols(f), "run").select("path", "line", "text")
 
 
-@query("SELECT 'm' || p_partkey || '.py' AS path, 4::BIGINT AS line, 'os.path.join(a, b)' AS code, 'a' AS first FROM part")
+@query("SELECT 'm' || p_partkey || '.py' AS path, 4::BIGINT AS line, 'os.path.join(a' || p_partkey % 5 || ', b)' AS code, 'a' || p_partkey % 5 AS first FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 50 <> 7")
 def ast_search(spark, sf_dir):
     return convert.ast_search(_python(spark, sf_dir), "os.path.join($A, $$$R)").select("path", "line", "code", F.col("captures")["A"].alias("first"))
 
 
-@query("SELECT 'm' || p_partkey || '.py' AS path, 1::BIGINT AS n, true AS changed FROM part")
+@query("SELECT 'm' || p_partkey || '.py' AS path, (p_partkey % 3 <> 0 AND p_partkey % 50 <> 7)::BIGINT AS n, p_partkey % 3 <> 0 AND p_partkey % 50 <> 7 AS changed FROM part")
 def ast_replace(spark, sf_dir):
-    return convert.ast_replace(_python(spark, sf_dir), "os.path.join($A, $$$R)", "($A / $$$R)").select("path", "n", F.col("text").contains("return a / b").alias("changed"))
+    return convert.ast_replace(_python(spark, sf_dir), "os.path.join($A, $$$R)", "($A / $$$R)").select("path", "n", F.col("text").rlike("return a[0-9] / b").alias("changed"))
 
 
 @query("SELECT doc_id, CASE WHEN (length(text) - length(replace(text, 'GNU', ''))) = 3 THEN replace(text, 'GNU', 'X') ELSE text END AS text FROM documents")
