@@ -42,8 +42,8 @@ from .langid import held_out
 
 TAILS = 64
 LANES, WINDOW = 512, 32
-#: Texts of more bytes are scored beside their like.
-LONG = 1 << 15
+#: Texts are scored beside others of their length: up to these bytes, and longer ones.
+LENGTHS = (1 << 13, 1 << 15)
 LOG10 = float(np.log(10.0))
 
 
@@ -501,8 +501,10 @@ def train(docs: DataFrame, total_bytes: int, head_size: int = 4096, classes: int
 def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     size = F.octet_length("text")
-    total, far = (x or 0 for x in docs.agg(F.sum(size), F.sum(F.when(size > LONG, size))).first())
-    chunks, buckets = [1 + (total - far) // chunk_bytes, 1 + far // chunk_bytes], 1 + total // (16 << 20)
+    length = sum((F.when(size > n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+    held = [x or 0 for x in docs.agg(*[F.sum(F.when(length == i, size)) for i in range(len(LENGTHS) + 1)]).first()]
+    total, chunks = sum(held), [1 + n // chunk_bytes for n in held]
+    buckets = 1 + total // (16 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(fold).alias("held_out"), F.coalesce(_frame.as_binary("text"), F.lit(b"")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     model, counts = train(rows.where("not held_out").select("key", "text"), total, **kwargs)
@@ -562,8 +564,9 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
         return pa.table(dict(zip(kinds, values, strict=True)))
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    # long documents have chunks of their own, as a chunk takes as many steps as its longest document has tokens
-    chunk = F.when(size > LONG, chunks[0] + F.pmod("key", F.lit(chunks[1]))).otherwise(F.pmod("key", F.lit(chunks[0])))
+    # a chunk takes as many steps as its longest document has tokens, so long documents have chunks of their own
+    of_length = [sum(chunks[:i]) + F.pmod("key", F.lit(n)) for i, n in enumerate(chunks)]
+    chunk = F.element_at(F.array(*of_length), length + 1)
     dealt = rows.withColumn("chunk", chunk.cast("int")).drop("key")
     by_chunk = lambda df: _frame.numbered(df, "chunk", sum(chunks)).groupBy("chunk")
     by_bucket = lambda df: _frame.numbered(df, "bucket", buckets).groupBy("bucket")
