@@ -122,4 +122,4 @@ def mixed(docs: DataFrame, **kwargs) -> DataFrame:
     Rows of one doc_id are taken equally often."""
     plan = mix(docs, **kwargs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("passes").alias("__passes")).where("__passes > 0")
     out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return out.withColumn("__nth", F.explode(F.expr("sequence(1, __passes)"))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn("__nth", F.explode(F.expr("sequence(1, __passes)"))).select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -265,13 +265,13 @@ def keep_first(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: in
     """The rows of docs, with their own columns, that are the first of their class.
 
     Of rows that share a doc_id but not a class each class keeps its own; of those that share
-    both one text stays, and of equal texts the row with the smallest hash of all columns.
+    both one text stays, and of equal texts the row with the smallest hash of all columns (but maps).
     Rows with a null doc_id stay: they name nothing.
     """
     first = _labelled(docs, threshold, size, bands, rows, counted).where("doc_id = class_id")
     keep = first.groupBy(F.col("doc_id").alias("__id"), F.coalesce("label", F.col("th").cast("string").cast("binary"))).agg(F.min("th").alias("__th")).select("__id", "__th").distinct()
     rows_ = docs.withColumn("__own", F.xxhash64(F.col("text").cast("binary")))
     rows_ = rows_.join(keep, (rows_["doc_id"] == F.col("__id")) & (rows_["__own"] == F.col("__th")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*docs.columns)))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))))
     rows_ = rows_.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__own")
     return rows_.unionByName(docs.where("doc_id is null"))

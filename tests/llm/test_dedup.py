@@ -201,6 +201,18 @@ def test_one_id_with_several_texts(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, minhash.keep_first(df.repartition(5, "th")).collect()))
 
 
+def test_columns_of_other_kinds_are_kept(spark, tmp_path):
+    """Maps, dotted names and names that the operators use themselves."""
+    from tessera.llm import curriculum, reshard
+
+    rows = [(i, f"some words of text {i % 3} that are repeated", "s", {"k": i}, i, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string, int>, `a.b` int, hash int")
+    assert Counter(r.doc_id for r in minhash.keep_first(df).collect()) == Counter([0, 1, 2]) and minhash.keep_first(df).columns == df.columns
+    assert curriculum.mixed(df).columns == df.columns and curriculum.mixed(df).count() > 0
+    back = reshard.reshard(df, str(tmp_path / "shards"))
+    assert {(r.doc_id, r["a.b"], r.hash, r.m["k"]) for r in back.collect()} == {(i, i, i, i) for i in range(9)}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
