@@ -134,8 +134,9 @@ def filtered(outputs: DataFrame, f: Filter) -> DataFrame:
         rows = F.transform(rows, lambda x: tx.truncate_line(x, f.line_max))
     if f.cls is not None:
         hit = (lambda x: x.rlike(f.cls_pattern)) if f.cls_pattern else (lambda x: F.lit(True))
-        numbered = F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct((a["n"] + hit(x).cast("int")).alias("n"), F.when(~hit(x) | (a["n"] < CAPS[f.cls]), F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out")))["out"]
-        text = join_blocks(numbered)
+        body = body.withColumn("__r", rows).withColumn("__n", place_of_hit(F.col("__r"), hit, CAPS[f.cls]))
+        rest = F.filter(F.slice("__r", F.col("__n") + 1, F.size("__r")), lambda x: ~hit(x))
+        text = join_blocks(F.concat(F.slice("__r", 1, F.col("__n")), rest))
     elif f.max_lines is not None:
         head = {"head": f.max_lines, "tail": 0, "middle": f.max_lines // 2}[f.keep]
         tail = f.max_lines - head
@@ -149,6 +150,12 @@ def filtered(outputs: DataFrame, f: Filter) -> DataFrame:
     return body.withColumn("__t", text).select("id", F.col("__t").alias("text"))
 
 
+def place_of_hit(rows: Column, hit: Callable[[Column], Column], nth: int) -> Column:
+    """Where, from 1, the nth row that hits is; the number of rows, if fewer hit. One pass: an array that grows by a row at a time takes the square."""
+    places = F.filter(F.transform(rows, lambda x, i: F.when(hit(x), i + 1)), lambda i: i.isNotNull())
+    return F.coalesce(F.get(places, F.lit(nth - 1)), F.size(rows))
+
+
 def join_blocks(blocks: Column) -> Column:
     trimmed = F.transform(blocks, lambda b: F.rtrim(b))
     return F.array_join(F.filter(trimmed, lambda b: b != ""), "\n")

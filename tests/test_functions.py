@@ -1,6 +1,7 @@
 """Scalar functions, plans and small operators on fixtures of their own."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -171,6 +172,27 @@ def test_failures(spark):
     assert one(spark, reduce.keep_failures(raw, small, F.lit(0))) == "error: y"
 
 
+def test_class_cap_of_a_filter(spark):
+    """The first 20 lines of the class stay, all others as well; a long text takes about its length (the square: 33 s)."""
+    f, cap = reduce.Filter("event", strip=(r"^view",), line_max=20, cls="list", cls_pattern=r"^click"), reduce.CAPS["list"]
+
+    def texts(*bodies):
+        rows = spark.createDataFrame([(i, b, 0) for i, b in enumerate(bodies)], "id long, text string, exit_code int")
+        return [r.text for r in reduce.filtered(rows, f).orderBy("id").collect()]
+
+    def kept(body):
+        lines = [x for x in body.split("\n") if x and not x.startswith("view")]
+        gone = {*[i for i, x in enumerate(lines) if x.startswith("click")][cap:]}
+        return "\n".join(x for i, x in enumerate(lines) if i not in gone)
+
+    bodies = ["\n".join(f"{'click' if i % 3 < 2 else 'view' if i % 2 else 'error'} {i}" for i in range(n)) for n in (1, 28, 29, 30, 31, 32, 200)] + ["", "view 1", "error 1\nclick 2", "click 1\n" * cap, "click 1\n" * (cap + 1) + "error 2"]
+    assert texts(*bodies, None) == [*map(kept, bodies), None]
+    long = "\n".join(f"{'error' if i % 5 else 'click'} {i}" for i in range(40_000))
+    want, began = kept(long), time.time()
+    assert texts(long) == [want]
+    assert time.time() - began < 12
+
+
 def test_compress_with_a_custom_tool(spark):
     rows = spark.createDataFrame([(1, "mine a", "x\nx\nx\nx\nx", 0), (2, "ls | mine", "x\nx\nx\nx\nx", 0), (3, "make all", "make[1]: Entering directory 'a'\ncc\n", 0)], "id long, command string, text string, exit_code int")
     got = {r.id: (r.tool, r.text) for r in reduce.compress(rows, {"mine": lambda d: d.select("id", F.lit("short").alias("text"))}).collect()}
