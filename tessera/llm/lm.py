@@ -41,7 +41,11 @@ from . import _frame, _text
 from .langid import held_out
 
 TAILS = 64
+#: Token numbers have 16 bits; the last can't be a head word's.
+NONE = (1 << 16) - 1
 LANES, WINDOW = 512, 32
+#: An update goes over the parameters in blocks of so many, which stay in a core's cache.
+BLOCK = 1 << 15
 #: Texts are scored beside others of their length: up to these bytes, and longer ones.
 LENGTHS = (1 << 13, 1 << 15)
 LOG10 = float(np.log(10.0))
@@ -80,13 +84,16 @@ class Vocabulary:
     words: int = 0
     order: np.ndarray = field(init=False)
     sorted: np.ndarray = field(init=False)
-    bits: np.ndarray = field(init=False)
+    slots: np.ndarray = field(init=False)  # the number of a head word by 18 bits of its key; NONE if there is none
+    of_class: np.ndarray = field(init=False)  # of each token number
 
     def __post_init__(self):
         self.order = np.argsort(self.hashes)
         self.sorted = self.hashes[self.order]
-        self.bits = np.zeros(1 << 18, bool)
-        self.bits[self._low(self.hashes)] = True
+        self.slots = np.full(1 << 18, NONE, np.uint16)
+        self.slots[self._low(self.hashes)] = np.arange(self.head)
+        k = len(self.cuts) - 1
+        self.of_class = np.concatenate([np.repeat(np.arange(k), np.diff(self.cuts)), [k], k + 1 + np.arange(TAILS)])
         self.tokens = int(self.counts.sum() + self.tail_tokens.sum()) + self.ends
         self.words = int(len(self.hashes) + self.tail_words.sum()) + (self.ends > 0)
 
@@ -104,17 +111,20 @@ class Vocabulary:
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         out = (h & np.uint64(TAILS - 1)).astype(np.int64) + self.head + 1
-        at = np.flatnonzero(self.bits[self._low(h)])
-        if len(at) and self.head:
-            found = np.minimum(np.searchsorted(self.sorted, h[at]), self.head - 1)
-            same = self.sorted[found] == h[at]
+        number = self.slots.take(self._low(h))
+        at = np.flatnonzero(number != NONE)
+        if len(at):
+            number = number.take(at)
+            same = self.hashes.take(number) == h.take(at)
+            out[at[same]] = number[same]
+            at = at[~same]  # words of the tail, and the head words that share a slot with another
+            found = np.minimum(np.searchsorted(self.sorted, h.take(at)), self.head - 1)
+            same = self.sorted.take(found) == h.take(at)
             out[at[same]] = self.order[found[same]]
         return out
 
     def class_of(self, numbers: np.ndarray) -> np.ndarray:
-        k = len(self.cuts) - 1
-        table = np.concatenate([np.repeat(np.arange(k), np.diff(self.cuts)), [k], k + 1 + np.arange(TAILS)])
-        return table[numbers]
+        return self.of_class.take(numbers)
 
     def class_counts(self) -> np.ndarray:
         own = np.add.reduceat(self.counts, self.cuts[:-1]) if self.head else np.zeros(0)
@@ -131,12 +141,30 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, classes: int, ends: int,
     return Vocabulary(hashes, counts, cuts, ends, tail_tokens, tail_words)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _sigmoid_of_twice(x: np.ndarray) -> np.ndarray:
+    """In place: the sigmoid of 2 x."""
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def _totals(of: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+    """For each row of rows, and each number below n, the sum where of has that number."""
+    out = np.empty((len(rows), n), rows.dtype)
+    for own, row in zip(out, rows, strict=True):
+        own[:] = np.bincount(of, row, n)
+    return out
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key in sorted_keys (not empty), and whether it is there; keys are sought in rising order, which is kind to caches."""
+    order = np.argsort(keys)
+    keys = keys.take(order)
+    at, same = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+    near = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    at[order], same[order] = near, sorted_keys.take(near) == keys
+    return at, same
 
 
 class Model:
@@ -165,20 +193,24 @@ class Model:
         """Hidden states (steps, hidden, lanes) after each token of x (steps, lanes), from h (hidden, lanes); keep collects what backpropagation needs.
 
         Lanes are the last axis throughout, so that gates are blocks of rows."""
-        n, u, e, w, b = self.hidden, self.p["U"].T, self.p["E"], self.p["W"].T, self.p["b"][:, None]
+        n, e, (u, w, b) = self.hidden, self.p["E"], (self.p[k].T.copy() for k in "UWb")
+        for half in (u, w, b):  # of a gate's input: its sigmoid is taken by way of tanh
+            half[: 2 * n] *= 0.5
+        b = b[:, None]
         out = np.empty((len(x), n, x.shape[1]), h.dtype)
         for t in range(len(x)):
             if start[t].any():
                 h = h * ~start[t]
-            g, hu = w @ e[x[t]].T, u @ h
+            into = e.take(x[t], axis=0)
+            g, hu = w @ into.T, u @ h
             g += b
             g[: 2 * n] += hu[: 2 * n]
-            _sigmoid(g[: 2 * n])
+            _sigmoid_of_twice(g[: 2 * n])
             z, r, c, hu = g[:n], g[n : 2 * n], g[2 * n :], hu[2 * n :]
             c += r * hu
             np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, z, r, c, hu))
+                keep.append((into, h, z, r, c, hu))
             np.subtract(h, c, out=out[t])
             out[t] *= z
             out[t] += c
@@ -197,7 +229,8 @@ class Model:
         p, cuts, n = self.p, self.vocab.cuts, y.size
         cls, (class_bound, word_bound) = self.vocab.class_of(y), bounds or self.bounds()
         out, dh = np.empty(y.shape), None if grads is None else np.empty_like(hs)
-        wc, bc, lanes, ones = p["Wc"].T, p["bc"][:, None], np.arange(y.shape[1]), np.ones(max(len(p["bc"]), y.shape[1], int(np.diff(cuts).max(initial=0))), hs.dtype)
+        wc, bc, lanes, ones = p["Wc"].T.copy(), p["bc"][:, None], np.arange(y.shape[1]), np.ones(max(len(p["bc"]), n, int(np.diff(cuts).max(initial=0))), hs.dtype)
+        own_wc = np.zeros_like(wc)
         for t, h in enumerate(hs):
             e = wc @ h
             e += bc
@@ -210,41 +243,38 @@ class Model:
             if grads is not None:
                 e *= 1 / (total * n)
                 e[cls[t], lanes] -= 1 / n
-                grads["Wc"] += h @ e.T
+                own_wc += e @ h.T
                 grads["bc"] += e @ ones[: len(lanes)]
                 dh[t] = p["Wc"] @ e
+        if grads is not None:
+            grads["Wc"] += own_wc.T
         alone = np.diff(cuts) == 1  # the only word of its class has probability 1
-        at = np.flatnonzero((y.ravel() < self.vocab.head) & ~np.append(alone, np.ones(1 + TAILS, bool))[cls.ravel()])
+        among = np.append(~alone, np.zeros(1 + TAILS, bool))
+        at = np.flatnonzero(among.take(cls.ravel()))
         if not len(at):
             return out, dh
-        at = at[np.argsort(y.ravel()[at].astype(np.uint16), kind="stable")]  # words of a class have consecutive numbers
-        word = y.ravel()[at]
-        h = np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(n, -1)[at]
-        mine = p["Wo"][word]
-        logs = np.einsum("ij,ij->i", h, mine) + p["bo"][word]
-        if grads is not None:
-            back = mine / -n
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            grads["Wo"][word[first]] -= np.add.reduceat(h, first) / n
-            grads["bo"][word[first]] -= np.diff(np.append(first, len(word))) / n
+        at = at[np.argsort(y.ravel().take(at).astype(np.uint16), kind="stable")]  # words of a class have consecutive numbers
+        word = y.ravel().take(at)
+        h = np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(n, -1).take(at, axis=0)
+        logs, back = np.empty(len(at), hs.dtype), np.empty_like(h)
         ends = np.searchsorted(word, cuts)
         for k in np.flatnonzero(np.diff(ends)):
             part, own = slice(ends[k], ends[k + 1]), slice(cuts[k], cuts[k + 1])
-            w, hk = p["Wo"][own], h[part]
+            w, hk, mine = p["Wo"][own], h[part], (word[part] - cuts[k], np.arange(ends[k + 1] - ends[k]))
             e = w @ hk.T
             e += p["bo"][own, None]
             if word_bound > 60:
-                top = e.max(axis=0)
-                e -= top
-                logs[part] -= top
+                e -= e.max(axis=0)
+            logs[part] = e[mine]
             np.exp(e, out=e)
             total = ones[: len(w)] @ e
             logs[part] -= np.log(total)
             if grads is not None:
                 e *= 1 / (total * n)
+                e[mine] -= 1 / n
                 grads["Wo"][own] += e @ hk
-                grads["bo"][own] += e.sum(axis=1)
-                back[part] += e.T @ w
+                grads["bo"][own] += e @ ones[: len(hk)]
+                np.matmul(e.T, w, out=back[part])
         out.ravel()[at] += logs
         if grads is not None:
             whole = np.zeros((n, hs.shape[1]), hs.dtype)
@@ -258,9 +288,10 @@ class Model:
         grads = {k: np.zeros_like(v) for k, v in p.items()} if grads is None else grads
         hs = self.states(x, start, h, keep)
         logs, dh = self.log_probs(hs, y, grads)
-        after, du, de = np.zeros_like(h), np.empty((3 * n, x.shape[1]), hs.dtype), np.empty((*x.shape, p["E"].shape[1]), hs.dtype)
+        after, du, de = np.zeros_like(h), np.empty((3 * n, x.shape[1]), hs.dtype), np.empty((p["E"].shape[1], *x.shape), hs.dtype)
+        own_w, own_u, ones = np.zeros_like(p["W"].T), np.zeros_like(p["U"].T), np.ones(x.shape[1], hs.dtype)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, hu = keep[t]
+            into, before, z, r, c, hu = keep[t]
             d, rest = dh[t] + after, 1 - z
             dc = d * rest
             dc *= 1 - c * c
@@ -270,20 +301,19 @@ class Model:
             np.multiply(dc, hu, out=du[n : 2 * n])
             du[n : 2 * n] *= r * (1 - r)
             du[2 * n :] = dc
-            grads["W"] += p["E"][x[t]].T @ du.T
-            grads["b"] += du.sum(axis=1)
-            de[t] = du.T @ p["W"].T
+            own_w += du @ into
+            grads["b"] += du @ ones
+            de[:, t] = p["W"] @ du
             du[2 * n :] *= r
-            grads["U"] += before @ du.T
+            own_u += du @ before.T
             after = p["U"] @ du
             d *= z
             after += d
             if start[t].any():
                 after *= ~start[t]
-        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
-        ids = x.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        grads["E"][ids[first]] += np.add.reduceat(de.reshape(x.size, -1)[order], first)
+        grads["W"] += own_w.T
+        grads["U"] += own_u.T
+        grads["E"] += _totals(x.ravel(), len(p["E"]), de.reshape(len(de), -1)).T
         return -float(logs.mean()), grads, hs[-1]
 
     def fit(self, stream: np.ndarray, updates: int, bptt: int = 16, lanes: int = 512, rate: float = 0.01) -> float:
@@ -299,7 +329,7 @@ class Model:
         updates = max(updates, -(-steps // bptt))
         # all parameters are views of one array, so an update is a few passes over it
         flat = self.flat()
-        g, m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+        g, m, v, room = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty(min(len(flat), BLOCK), flat.dtype)
         grads, at = {}, 0
         for k, w in self.p.items():
             self.p[k], grads[k] = flat[at : at + w.size].reshape(w.shape), g[at : at + w.size].reshape(w.shape)
@@ -314,18 +344,22 @@ class Model:
                 losses.append(loss)
                 done += 1
                 norm, lr = float(np.sqrt(g @ g)), rate * max(0.1, 1 - done / updates)
-                g *= np.float32(min(1.0, 2.0 / (norm + 1e-12)))
-                for mean, part in ((m, 0.1), (v, 0.01)):
-                    if part == 0.01:
-                        g *= g
-                    np.subtract(g, mean, out=step)
-                    step *= np.float32(part)
-                    mean += step
-                np.sqrt(v, out=step)
-                step += np.float32(1e-7)
-                np.divide(m, step, out=step)
-                step *= np.float32(lr * (1 - 0.99**done) ** 0.5 / (1 - 0.9**done))
-                flat -= step
+                shrink, lr = np.float32(min(1.0, 2.0 / (norm + 1e-12))), np.float32(lr * (1 - 0.99**done) ** 0.5 / (1 - 0.9**done))
+                for cut in range(0, len(flat), BLOCK):
+                    own = slice(cut, cut + BLOCK)
+                    now, step = g[own], room[: len(flat[own])]
+                    now *= shrink
+                    for mean, part in ((m[own], 0.1), (v[own], 0.01)):
+                        if part == 0.01:
+                            now *= now
+                        np.subtract(now, mean, out=step)
+                        step *= np.float32(part)
+                        mean += step
+                    np.sqrt(v[own], out=step)
+                    step += np.float32(1e-7)
+                    np.divide(m[own], step, out=step)
+                    step *= lr
+                    flat[own] -= step
                 if done >= updates:
                     break
         return float(np.mean(losses[-20:]))
@@ -446,6 +480,7 @@ def _numbered(vocab: Vocabulary):
 def _trained(model: Model, updates: int, piece: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _frame.one_blas_thread()
+        _frame.keep_freed_memory()
         own = copy.copy(model)  # a worker may get several streams
         own.p = {k: v.copy() for k, v in model.p.items()}
         order = np.argsort(table.column("key").to_numpy(), kind="stable")
@@ -533,6 +568,7 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
 
     def scored(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         _frame.one_blas_thread()
+        _frame.keep_freed_memory()
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kinds.items()})
         known = np.frombuffer(b"".join(answers.column("h").to_pylist()), np.uint64)
@@ -547,8 +583,8 @@ def score(docs: DataFrame, fold: int = 5, chunk_bytes: int = 8 << 20, **kwargs)
             head = number < v.head
             c[head] = v.counts[number[head]]
             if len(known):
-                at = np.minimum(np.searchsorted(known, h[~head]), len(known) - 1)
-                c[~head] = np.where(known[at] == h[~head], n[at], 0)
+                at, same = _found(known, h[~head])
+                c[~head] = np.where(same, n.take(at), 0)
             within = np.where(head, 0.0, np.log((c + 0.5) / tail_base[(h & np.uint64(TAILS - 1)).astype(np.int64)]))
             place = np.arange(len(w)) + w.docs
             for out, fill, value in ((tokens, v.head, number), (counts_of, v.ends, c), (extra, 0.0, within)):

@@ -4,6 +4,9 @@ import gzip
 import hashlib
 import io
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +176,37 @@ def test_lm_score_is_the_models(spark):
         assert abs(got[i] - total / np.log(10)) < 1e-3 * max(1, abs(got[i])), i
 
 
+_FAULTS = """
+import resource
+import numpy as np, pyarrow as pa
+from tessera.llm import lm
+rng, ones = np.random.default_rng(5), np.ones(lm.TAILS, int)
+m = lm.Model(lm.vocabulary(rng.permutation(1 << 20)[:4096].astype(np.uint64), np.arange(5000, 904, -1), 48, 10, ones, ones))
+texts = [rng.integers(0, m.vocab.head + 1 + lm.TAILS, 400).astype(np.uint16).tobytes() for _ in range(300)]
+rows = pa.table({"key": np.arange(len(texts)), "tokens": pa.array(texts, pa.binary())})
+run = lm._trained(m, 1, 4096)
+for _ in range(2):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    run((pa.scalar(0),), rows)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+
+
+def test_lm_training_reuses_its_memory():
+    """Updates hardly map new pages, even where the C library starts by giving every freed array back."""
+    env = os.environ | {"MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072", "PYTHONPATH": os.pathsep.join(sys.path)}
+    out = subprocess.run([sys.executable, "-c", _FAULTS], env=env, capture_output=True, text=True, check=True, timeout=120).stdout
+    assert int(out) < 15 * 500  # 15 updates
+
+
+def test_lm_head_words_that_share_a_slot():
+    ones = np.ones(lm.TAILS, int)
+    head = np.array([5 << 6, 5 << 6 | 1 << 30, 5 << 6 | 1 << 40, 9 << 6 | 3], np.uint64)
+    v = lm.vocabulary(head, np.array([40, 30, 20, 10]), 2, 10, ones, ones)
+    other = np.array([5 << 6 | 1 << 50 | 7, 9 << 6 | 1 << 33, 11 << 6 | 2, 0], np.uint64)
+    assert v.numbers(np.concatenate([other, head])).tolist() == [5 + 7, 5, 5 + 2, 5, 0, 1, 2, 3]
+
+
 def test_lm_of_nothing(empty, spark):
     assert lm.score(empty).count() == 0
     held = [i for i in range(50) if _fold(i, 5)][:3]
