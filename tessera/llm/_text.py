@@ -21,12 +21,11 @@ SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
+    upper = data - np.uint8(0x41) < 26  # bytes below A wrap around
+    return data + (upper.view(np.uint8) << np.uint8(5))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,8 +50,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _ranged(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash of values[start:end] for each pair, by one prefix sum."""
     pw, inv = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * pw[: len(values)], out=sums[1:])
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.multiply(values, pw[: len(values)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inv[starts])
 
 
@@ -90,7 +91,7 @@ class Words:
         self.data, self.offs = data, offs
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        np.take(table, data, out=inside[1:-1])
+        inside[1:-1] = np.frombuffer(data.tobytes().translate(table.tobytes()), bool)
         at = offs[(offs > 0) & (offs < n)]
         before, after = inside[:-2], inside[2:]
         first = inside[1:-1] & ~before
@@ -112,7 +113,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return _ranged(_BYTE[self.data], self.starts, self.ends)
+        return _ranged(_BYTE.take(self.data.astype(np.intp)), self.starts, self.ends)
 
     def room(self, n: int) -> np.ndarray:
         """Whether n words from this one on are in its document."""

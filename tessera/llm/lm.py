@@ -193,24 +193,23 @@ class Model:
         """Hidden states (steps, hidden, lanes) after each token of x (steps, lanes), from h (hidden, lanes); keep collects what backpropagation needs.
 
         Lanes are the last axis throughout, so that gates are blocks of rows."""
-        n, e, (u, w, b) = self.hidden, self.p["E"], (self.p[k].T.copy() for k in "UWb")
-        for half in (u, w, b):  # of a gate's input: its sigmoid is taken by way of tanh
+        n, u, w = self.hidden, self.p["U"].T.copy(), np.concatenate([self.p["W"], self.p["b"][None]]).T.copy()
+        e = np.concatenate([self.p["E"], np.ones_like(self.p["E"][:, :1])], axis=1)  # a one for the bias
+        for half in (u, w):  # of a gate's input: its sigmoid is taken by way of tanh
             half[: 2 * n] *= 0.5
-        b = b[:, None]
         out = np.empty((len(x), n, x.shape[1]), h.dtype)
         for t in range(len(x)):
             if start[t].any():
                 h = h * ~start[t]
             into = e.take(x[t], axis=0)
             g, hu = w @ into.T, u @ h
-            g += b
             g[: 2 * n] += hu[: 2 * n]
             _sigmoid_of_twice(g[: 2 * n])
             z, r, c, hu = g[:n], g[n : 2 * n], g[2 * n :], hu[2 * n :]
             c += r * hu
             np.tanh(c, out=c)
             if keep is not None:
-                keep.append((into, h, z, r, c, hu))
+                keep.append((into[:, :-1], h, z, r, c, hu))
             np.subtract(h, c, out=out[t])
             out[t] *= z
             out[t] += c
@@ -229,25 +228,32 @@ class Model:
         p, cuts, n = self.p, self.vocab.cuts, y.size
         cls, (class_bound, word_bound) = self.vocab.class_of(y), bounds or self.bounds()
         out, dh = np.empty(y.shape), None if grads is None else np.empty_like(hs)
-        wc, bc, lanes, ones = p["Wc"].T.copy(), p["bc"][:, None], np.arange(y.shape[1]), np.ones(max(len(p["bc"]), n, int(np.diff(cuts).max(initial=0))), hs.dtype)
-        own_wc = np.zeros_like(wc)
+        lanes, ones = np.arange(y.shape[1]), np.ones(max(n, int(np.diff(cuts).max(initial=0))), hs.dtype)
+        # exp(a + b) is exp(a) exp(b): biases come in by factors of sums, not of every element, unless they could overflow
+        wc, bc, large = p["Wc"].T.copy(), p["bc"], class_bound > 40
+        factor = np.ones_like(bc) if large else np.exp(bc)
+        back, own_wc, own_bc = p["Wc"] * factor, np.zeros_like(wc), np.zeros_like(bc)
         for t, h in enumerate(hs):
             e = wc @ h
-            e += bc
-            if class_bound > 60:  # only then can a sum overflow
+            if large:
+                e += bc[:, None]
                 e -= e.max(axis=0)
             out[t] = e[cls[t], lanes]
             np.exp(e, out=e)
-            total = ones[: len(e)] @ e
+            total = factor @ e
             out[t] -= np.log(total)
             if grads is not None:
-                e *= 1 / (total * n)
-                e[cls[t], lanes] -= 1 / n
-                own_wc += e @ h.T
-                grads["bc"] += e @ ones[: len(lanes)]
-                dh[t] = p["Wc"] @ e
+                e[cls[t], lanes] -= total / factor.take(cls[t])
+                part = 1 / (total * n)
+                own_wc += e @ (h * part).T
+                own_bc += e @ part
+                np.matmul(back, e, out=dh[t])
+                dh[t] *= part
+        if not large:
+            out += bc.take(cls)
         if grads is not None:
-            grads["Wc"] += own_wc.T
+            grads["Wc"] += (own_wc * factor[:, None]).T
+            grads["bc"] += own_bc * factor
         alone = np.diff(cuts) == 1  # the only word of its class has probability 1
         among = np.append(~alone, np.zeros(1 + TAILS, bool))
         at = np.flatnonzero(among.take(cls.ravel()))
@@ -256,7 +262,7 @@ class Model:
         at = at[np.argsort(y.ravel().take(at).astype(np.uint16), kind="stable")]  # words of a class have consecutive numbers
         word = y.ravel().take(at)
         h = np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(n, -1).take(at, axis=0)
-        logs, back = np.empty(len(at), hs.dtype), np.empty_like(h)
+        logs, back = np.empty(len(at), hs.dtype), np.empty((len(at) + 1, h.shape[1]), hs.dtype)
         ends = np.searchsorted(word, cuts)
         for k in np.flatnonzero(np.diff(ends)):
             part, own = slice(ends[k], ends[k + 1]), slice(cuts[k], cuts[k + 1])
@@ -277,9 +283,9 @@ class Model:
                 np.matmul(e.T, w, out=back[part])
         out.ravel()[at] += logs
         if grads is not None:
-            whole = np.zeros((n, hs.shape[1]), hs.dtype)
-            whole[at] = back
-            dh += whole.reshape(*y.shape, -1).transpose(0, 2, 1)
+            back[-1], row = 0, np.full(n, len(at))
+            row[at] = np.arange(len(at))
+            dh += back.take(row, axis=0).reshape(*y.shape, -1).transpose(0, 2, 1)
         return out, dh
 
     def gradients(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray, grads: dict | None = None) -> tuple[float, dict, np.ndarray]:
@@ -338,9 +344,9 @@ class Model:
         while done < updates:
             h = np.zeros((self.hidden, lanes), np.float32)
             for lo in range(0, steps, bptt):
-                window = x[lo : lo + bptt].astype(np.int64)
+                window = x[lo : lo + bptt].astype(np.int64, order="C")
                 g[:] = 0
-                loss, _, h = self.gradients(window, y[lo : lo + bptt].astype(np.int64), window == self.vocab.head, h, grads)
+                loss, _, h = self.gradients(window, y[lo : lo + bptt].astype(np.int64, order="C"), window == self.vocab.head, h, grads)
                 losses.append(loss)
                 done += 1
                 norm, lr = float(np.sqrt(g @ g)), rate * max(0.1, 1 - done / updates)
