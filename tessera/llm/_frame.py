@@ -125,7 +125,7 @@ def one_blas_thread() -> None:
 
 
 def keep_freed_memory() -> None:
-    """Inside a task: the process keeps up to 64 MB of freed memory, and arrays of up to 16 MB come from it. By default the C library gives freed arrays back at once, and each new one is mapped again page by page. Without glibc nothing happens."""
+    """Inside a task: the process keeps up to 64 MB of freed memory, and arrays of up to 16 MB come from it. By default the C library may give freed arrays back at once, by what the process did before, and each new one is mapped again page by page. Without glibc nothing happens."""
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt is not None:
         mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
